@@ -60,3 +60,45 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     counted = token_counts.add_token_counts(docs, tokenizer_file("byte_bpe_50k.json"), keep_text=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op3_source_mix")
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireloom.llm import mixing
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+OP4_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS a FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(a, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(a, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, q, v) AS (VALUES {rules}),
+m AS (SELECT *, (SELECT max_by({{'rule': h || q, 'v': v}}, length(h || q) * 1000 + length(h)) FROM r
+      WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, q)) AS b FROM p)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.v, 'allow') AS verdict FROM m
+""".format(rules=", ".join(str(r) for r in URL_RULES))
+
+
+@query("op4_url_filter", OP4_SQL)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireloom.llm import url_filter
+
+    rules = spark.createDataFrame(URL_RULES, url_filter.RULE_SCHEMA)
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireloom.llm import secrets
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs, keep_text=False)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    join = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(join(base), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"))
