@@ -37,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 
-PER_FORMAT, ALPHA, LITERAL, FLOOR = 80, 0.02, 4, 1e-6
+PER_FORMAT, ALPHA, FLOOR, BACK_OFF = 80, 0.02, 1e-4, 0.1
 
 
 class Automaton:
@@ -63,6 +63,12 @@ class Automaton:
             self.stops[s] += 1
         self._merge_states(math.sqrt(0.5 * math.log(2 / alpha)))
         self.log = [{x: math.log(n / self.visits[s]) for x, n in self.seen[s].items()} for s in range(len(self.to))]
+        all_seen: dict = {}
+        for row in self.seen:
+            for x, n in row.items():
+                all_seen[x] = all_seen.get(x, 0) + n
+        steps = sum(all_seen.values())
+        self.anywhere, self.never = {x: math.log(BACK_OFF * n / steps + FLOOR) for x, n in all_seen.items()}, math.log(FLOOR)
         self.end = [math.log(max(FLOOR, n / max(1, v))) for n, v in zip(self.stops, self.visits, strict=True)]
 
     def _alike(self, a: int, b: int, bound: float) -> bool:
@@ -115,11 +121,11 @@ class Automaton:
                 is_red.add(t)
 
     def loglik(self, word) -> float:
-        s, total, unseen = 0, 0.0, math.log(FLOOR)
+        s, total = 0, 0.0
         for x in word:
             step = self.log[s].get(x)
-            if step is None:
-                total += unseen
+            if step is None:  # not seen from here: what it is worth anywhere, and the state stays
+                total += self.anywhere.get(x, self.never)
                 continue
             total += step
             s = self.to[s][x]
@@ -127,9 +133,9 @@ class Automaton:
 
 
 def symbols(text: str) -> list:
-    """The first characters stand for themselves, later ones for their class."""
-    out: list = list(text[:LITERAL])
-    for c in text[LITERAL:]:
+    """Classes of characters; punctuation stands for itself."""
+    out: list = []
+    for c in text:
         if "0" <= c <= "9":
             out.append(0)
         elif "a" <= c <= "f":
@@ -165,7 +171,8 @@ def labelled(seed: int = 7, each: int = PER_FORMAT) -> tuple[list[str], list[str
         lambda: "/".join(word() for _ in range(r.randint(3, 7))), lambda: ".".join(word() for _ in range(r.randint(3, 6))), lambda: "".join(word().capitalize() for _ in range(r.randint(3, 6))),
         lambda: f"{word()}/{take(NUM, 4)}/{take(NUM, 2)}/{take(NUM, 2)}/{word()}-{word()}.html", lambda: take(NUM, r.randint(16, 24)), lambda: "=" * r.randint(16, 60), lambda: "-" * r.randint(16, 60), lambda: "_" * r.randint(16, 60), lambda: "." * r.randint(16, 60),
         lambda: f"{take(NUM, 4)}-{take(NUM, 2)}-{take(NUM, 2)}.{take(NUM, 6)}", lambda: (word() + word() + word()).upper() + "_" + word().upper() + word().upper(), lambda: f"{word()}{word()}.{word()}{take(NUM, 3)}.example.com", lambda: r.choice(LOW) * r.randint(16, 40),
-        lambda: f"{word()}.{word()}={word()}-{take(NUM, 2)}.{take(NUM, 1)}", lambda: f"{word()}-{word()}-{take(NUM, 6)}-{word()}",
+        lambda: f"{word()}.{word()}={word()}-{take(NUM, 2)}.{take(NUM, 1)}", lambda: f"{word()}-{word()}-{take(NUM, 6)}-{word()}", lambda: f"{word()}{take(NUM, 1)}.{word()}.{r.choice(('com', 'net', 'org'))}", lambda: f"{word()}.{word()}.{take(NUM, 2)}.{word()}",
+        lambda: f"{take(NUM, 3)}-{take(NUM, 3)}-{take(NUM, 4)}-{take(NUM, 4)}", lambda: f"{word()}{take(NUM, 2)}_{word()}{take(NUM, 2)}_{word()}",
     ]
     long = lambda f: next(s for s in iter(f, None) if len(s) >= 16)
     return [long(f) for f in good for _ in range(each)], [long(f) for f in plain for _ in range(each)]
