@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,3 +54,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of results that are already written.
+
+    The context cleaner removes them once the driver's JVM has collected the
+    plans that they belong to; a large job should not wait for that by chance.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
