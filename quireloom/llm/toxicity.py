@@ -1,8 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
-Words get log-odds between toxic and other labelled documents under an
-informative Dirichlet prior (pseudo-counts in proportion to a word's overall
-frequency), and those that are significant enter the lexicon.  A text is a
+Words, and their first 4 to 6 letters, get log-odds between toxic and other
+labelled documents under an informative Dirichlet prior (pseudo-counts in
+proportion to overall frequency); those that are significant and strong enter
+the lexicon.  A word that is not in it has the score of its longest beginning
+that is, so that inflected and disguised forms count.  A text is a
 sequence of word scores with a negative drift for all others; one linear scan
 finds every maximal scoring segment.  A segment's score turns into an
 expectation over a clean text of that length by extreme-value statistics
@@ -39,6 +41,8 @@ from quireloom.session import ship_package
 MOST_TRAIN, FOLDS, HELD_OUT = 20_000, (0, 1, 3), 2
 #: The prior's weight as a share of the counts, the least z of a lexicon word, and the drift.
 PRIOR, LEAST_Z, DRIFT = 0.05, 2.5, 0.25
+#: Least log-odds of a lexicon entry, and the lengths of beginnings.
+LEAST_ODDS, BEGIN = 2.0, (6, 5, 4)
 WORD = re.compile(r"\w+")
 
 
@@ -89,14 +93,41 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y in found]
 
 
-def scan(words: list[str], lexicon: dict[str, float]) -> list[tuple[int, int, float]]:
+def tokens_of(text: str) -> set[str]:
+    """The distinct words of a text and, marked by ``*``, their beginnings."""
+    words = set(WORD.findall(text.lower()))
+    return words.union(*({w[:k] + "*" for w in words if len(w) >= k} for k in BEGIN))
+
+
+class Lookup(dict):
+    """Scores of words by the lexicon, remembered for the words of a task's texts."""
+
+    MOST = 1 << 20
+
+    def __init__(self, lexicon: dict[str, float]) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float | None:
+        found = self.lexicon.get(word)
+        for k in BEGIN if found is None else ():
+            if len(word) >= k and (found := self.lexicon.get(word[:k] + "*")) is not None:
+                break
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = found
+        return found
+
+
+def scan(words: list[str], lookup: Lookup) -> list[tuple[int, int, float]]:
     """Maximal segments of a text in word positions; gaps between lexicon words are summed up first."""
-    hits = [i for i, w in enumerate(words) if w in lexicon]
+    found = [lookup[w] for w in words]
+    hits = [i for i, x in enumerate(found) if x is not None]
     if not hits:
         return []
     scores, at, last = [], [], -1
     for i in hits:
-        scores += [-DRIFT * (i - last - 1), lexicon[words[i]]]
+        scores += [-DRIFT * (i - last - 1), found[i]]
         at += [i, i]
         last = i
     return [(at[a], at[b - 1] + 1, s) for a, b, s in maximal_segments(scores)]
@@ -135,7 +166,7 @@ def _build(rows, cells: dict, leave_out: int | None) -> tuple[dict[str, float],
         y1, y0 = (sum(row[f"n{f}_{y}"] for f in folds) for y in (1, 0))
         if y1 + y0 and n1 and n0:
             delta, z = log_odds(y1, y0, n1, n0)
-            if abs(z) >= LEAST_Z:
+            if z >= LEAST_Z and delta >= LEAST_ODDS:
                 lexicon[row["word"]], rate[row["word"]] = delta, (y0 + PRIOR * (y1 + y0)) / (n0 + PRIOR * (n1 + n0))
     decay, log_k = extreme_values(lexicon, rate) if lexicon else (1.0, 0.0)
     return lexicon, decay, log_k
@@ -174,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
                 seen: Counter = Counter()
                 for text, f, y in zip(texts_of(part.column("text")), part.column("fold").to_pylist(), part.column("toxic").to_pylist(), strict=True):
                     cell = 2 * f + y
-                    words = set(WORD.findall(text.lower()))
+                    words = tokens_of(text)
                     seen.update((w, cell) for w in words)
                     seen["", cell] += len(words)
                 words, cells = zip(*seen, strict=True) if seen else ((), ())
@@ -185,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     # a word with fewer toxic documents cannot reach the least z of a toxic word; the bounded sample bounds what is left
     toxic = sum(F.col(f"n{f}_1") for f in FOLDS)
     other = sum(F.col(f"n{f}_0") for f in FOLDS)
-    rows = table.where((F.col("word") == "") | ((toxic >= 3) & (toxic > other / 4))).collect()
+    rows = table.where((F.col("word") == "") | ((toxic >= 3) & (toxic > other / 2))).collect()
     cells = {(f, y): r[f"n{f}_{y}"] for r in rows if r["word"] == "" for f in FOLDS for y in (0, 1)}
     rows = [r for r in rows if r["word"]]
     if not any(cells.get((f, 1)) for f in FOLDS) or not any(cells.get((f, 0)) for f in FOLDS):
@@ -193,12 +224,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     folds = {f: _build(rows, cells, f) for f in FOLDS}
 
     def measure(batches):
+        lookups = {f: (Lookup(lexicon), decay, log_k) for f, (lexicon, decay, log_k) in folds.items()}
         for batch in batches:
             x = []
             for text, f in zip(texts_of(batch.column("text")), batch.column("fold").to_pylist(), strict=True):
-                lexicon, decay, log_k = folds[f]
+                lookup, decay, log_k = lookups[f]
                 words = WORD.findall(text.lower())
-                x.append(evidence_of(scan(words, lexicon), len(words), decay, log_k))
+                x.append(evidence_of(scan(words, lookup), len(words), decay, log_k))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("toxic")], names=["x", "y"])
 
     sample = train.mapInArrow(measure, "x double, y int").toPandas()  # at most ``most`` rows
@@ -211,10 +243,10 @@ PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Str
 ARROW_PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def judge_text(text: str, model: Model) -> tuple[float, list[dict]]:
+def judge_text(text: str, model: Model, lookup: Lookup) -> tuple[float, list[dict]]:
     """Score of a text and its significant passages, in code points."""
     words = WORD.findall(text.lower())
-    segments = scan(words, model.lexicon)
+    segments = scan(words, lookup)
     least = (model.log_k + math.log(max(1, len(words)))) / model.decay
     passages = []
     if segments:
@@ -227,8 +259,10 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool =
     """Add ``score`` and ``passages``."""
 
     def make():
+        lookup = Lookup(model.lexicon)
+
         def kernel(batch):
-            found = [judge_text(t, model) for t in texts_of(batch.column(text_col))]
+            found = [judge_text(t, model, lookup) for t in texts_of(batch.column(text_col))]
             return [pa.array([s for s, _ in found], pa.float64()), pa.array([p for _, p in found], ARROW_PASSAGES)]
 
         return kernel
