@@ -130,3 +130,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, model, keep_text=False)
     held_out = F.coalesce(toxicity.fold_of(F.col("doc_id")) == toxicity.HELD_OUT, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_embedding_dedup")
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireloom.llm import nn_descent
+
+    return nn_descent.near_duplicates(read_table(spark, sf_dir, "embeddings"))
