@@ -137,3 +137,19 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quireloom.llm import nn_descent
 
     return nn_descent.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op10_top_k", OP10_SQL)
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireloom.llm import mtree
+
+    return mtree.top_k(read_table(spark, sf_dir, "embeddings"))
