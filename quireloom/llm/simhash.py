@@ -28,7 +28,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,19 +78,30 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", k: int = 4, keep_text: bool = True) -> DataFrame:
-    """Add ``fp``, the fingerprint as a signed long."""
+def mixed(h: np.ndarray, i: int) -> np.ndarray:
+    """The ``i``-th further hash of values that are hashes already."""
+    if i:
+        h = h + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def fingerprints(df: DataFrame, text_col: str = "text", k: int = 4, keep_text: bool = True, words: int = 1) -> DataFrame:
+    """Add the fingerprint as signed longs: ``fp``, of further words ``fp1`` and so on."""
 
     def make():
         def kernel(batch):
             rows = [shingle_hashes(t, k) for t in batch.column(text_col).to_pylist()]
             counts = np.fromiter(map(len, rows), np.int64, len(rows))
             flat = np.fromiter((h for r in rows for h in r), np.uint64, int(counts.sum()))
-            return [pa.array(majority(flat, counts).view(np.int64), pa.int64())]
+            return [pa.array(majority(mixed(flat, i), counts).view(np.int64), pa.int64()) for i in range(words)]
 
         return kernel
 
-    return add_columns(df, [T.StructField("fp", T.LongType())], make, by=text_col, drop=() if keep_text else (text_col,))
+    fields = [T.StructField(f"fp{i or ''}", T.LongType()) for i in range(words)]
+    return add_columns(df, fields, make, by=text_col, drop=() if keep_text else (text_col,))
 
 
 #: Nodes of a group that are compared in one tile, and up to which group size
@@ -243,9 +254,10 @@ def links(nodes: DataFrame, words: list[str], masks: list[list[int]], radius: in
     ship_package(nodes.sparkSession)
     keys = [F.xxhash64(F.lit(i), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(words, mask, strict=True) if m]) for i, mask in enumerate(masks)]
     rows = nodes.select(id_col, *words, F.explode(F.array(*keys)).alias("key"))
-    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-    rows = rows.join(large, "key", "left")
-    tiles = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / GROUP).cast("int")
+    large = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "large-groups")
+    some = not large.isEmpty()
+    rows = rows.join(large, "key", "left") if some else rows
+    tiles = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / GROUP).cast("int") if some else F.lit(1)
     rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.col("tiles")).cast("int"))
     # a tile meets itself and each other tile of its group once; small groups are one tile
     other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -295,3 +307,58 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = placed.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     return prints.join(labels, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
+
+
+#: The wide fingerprint of the similarity join: its words, and the share of
+#: links at the least similarity that its tables may miss.
+WORDS, MISS = 4, 0.03
+
+
+def bit_share(similarity: float) -> float:
+    """Share of bits in which texts of this shingle overlap are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sampled_masks(n_nodes: int, similarity: float, words: int = WORDS, seed: int = 5) -> list[list[int]]:
+    """Masks of sampled bits: enough of them that links at ``similarity`` agree on one."""
+    bits = max(12, int(np.log2(max(2, n_nodes))) - 3)
+    tables = int(np.ceil(np.log(MISS) / np.log(1 - (1 - bit_share(similarity)) ** bits)))
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(tables):
+        row = [0] * words
+        for b in rng.choice(64 * words, bits, replace=False).tolist():
+            row[b // 64] |= 1 << (b % 64)
+        out.append([int(np.uint64(m).view(np.int64)) for m in row])
+    return out
+
+
+def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): groups of texts whose word shingles overlap by ``similarity`` or more.
+
+    The overlap is estimated from 256 bits, to about two hundredths at 0.8, and
+    the radius is half a deviation wide of it; tables of sampled bits find all
+    but ``MISS`` of the links at the least similarity and nearly all above.
+    """
+    names = [f"fp{i or ''}" for i in range(WORDS)]
+    slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    prints = materialize(fingerprints(slim, "__text", k, keep_text=False, words=WORDS).withColumn("node", F.xxhash64(*names)), "fingerprints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("__id").alias("least"), *[F.first(n).alias(n) for n in names]), "simhash-nodes")
+    share, width = bit_share(similarity), 64 * WORDS
+    radius = int(width * share + 0.75 * (width * share * (1 - share)) ** 0.5)
+    root = components(links(nodes, names, sampled_masks(nodes.count(), similarity), radius))
+    placed = nodes.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = placed.join(least, "root").select("node", "component_id")
+    return prints.select("__id", "node").join(labels, "node").select(F.col("__id").alias(id_col), "component_id")
+
+
+def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``df`` with one row of each group of similar texts: that of the least id.
+
+    Of repeated rows one stays.  Rows without an id stay if no row with an id
+    is similar to them.
+    """
+    kept = similar(df, text_col, id_col, k, similarity).select(F.col("component_id").alias("__kept")).distinct()
+    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(text_col)
+    return rows.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
