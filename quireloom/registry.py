@@ -21,8 +21,11 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
+    from quireloom import catalog  # noqa: F401  registers them
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return ORACLE
