@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -56,3 +57,29 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable, by:
 def texts_of(array: pa.Array) -> list[str]:
     """Python strings of a string column; null counts as empty."""
     return ["" if x is None else x for x in array.to_pylist()]
+
+
+def table_groups(batches, keys: list[str], rows: int = 8192) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Runs of equal integer keys in sorted batches, whole, with their keys."""
+    held: list[pa.RecordBatch] = []
+
+    def runs(table: pa.Table) -> np.ndarray:
+        columns = [table.column(k).to_numpy() for k in keys]
+        return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+    def groups(table: pa.Table, cut: np.ndarray):
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            part = table.slice(s, e - s)
+            yield tuple(part.column(k)[0].as_py() for k in keys), part
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            cut = runs(table)
+            yield from groups(table, cut)
+            held = table.slice(int(cut[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        if len(table):
+            yield from groups(table, np.append(runs(table), len(table)))

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireloom.llm.components import components
-from quireloom.llm.simhash import forest
+from quireloom.llm.common import table_groups
+from quireloom.llm.components import components, forest
 from quireloom.llm.vectors import is_whole, matrix, same_width
 from quireloom.session import materialize, ship_package
 
@@ -170,25 +170,8 @@ def within_groups(nodes: DataFrame, groups: DataFrame, threshold: float) -> Data
         return pa.concat_arrays([pa.array(node[some]), pa.array(node[a])]), pa.concat_arrays([pa.array(links[some].astype(np.int64)), pa.array(np.zeros(len(a), np.int64))]), pa.concat_arrays([none, pa.array(node[b])])
 
     def run(batches):
-        held = None
-
-        def groups_of(t: pa.Table, last: bool):
-            keys = [t.column(c).to_numpy() for c in ("root", "p", "q")]
-            change = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
-            ends = [*change[1:], len(t)]
-            for s, e in list(zip(change, ends, strict=True))[: None if last else -1]:
-                yield pa.RecordBatch.from_arrays(list(meet([int(k[s]) for k in keys], t.slice(s, e - s))), names=["a", "links", "b"])
-            return None
-
-        for t in batches:
-            t = pa.Table.from_batches([t])
-            held = t if held is None else pa.concat_tables([held, t])
-            if len(held) >= 8192:
-                yield from groups_of(held, False)
-                root, p, q = (held.column(c).to_numpy() for c in ("root", "p", "q"))
-                held = held.slice(int(np.flatnonzero((root != root[-1]) | (p != p[-1]) | (q != q[-1]))[-1]) + 1 if ((root != root[-1]) | (p != p[-1]) | (q != q[-1])).any() else 0)
-        if held is not None and len(held):
-            yield from groups_of(held, True)
+        for key, t in table_groups(batches, ["root", "p", "q"]):
+            yield pa.RecordBatch.from_arrays(list(meet(key, t)), names=["a", "links", "b"])
 
     return rows.mapInArrow(run, "a long, links long, b long")
 

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireloom.llm.common import add_columns
-from quireloom.llm.components import components
+from quireloom.llm.common import add_columns, table_groups
+from quireloom.llm.components import components, forest
 from quireloom.session import materialize, ship_package
 
 WIDTH, SEED = 64, 42
@@ -189,20 +189,6 @@ def tile_pairs(one: np.ndarray, two: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links: each node with its component's least."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, before[b])
-        np.minimum.at(label, b, before[a])
-        label = label[label]
-        if (label == before).all():
-            break
-    node = np.flatnonzero(label != np.arange(n))
-    return node, label[node]
-
-
 def group_links(ids: np.ndarray, fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of ``group``; where a run has two sides, between the sides only."""
     edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -309,9 +295,11 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return prints.join(labels, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
-#: The wide fingerprint of the similarity join: its words, and the share of
-#: links at the least similarity that its tables may miss.
-WORDS, MISS = 4, 0.03
+#: The wide fingerprint of the similarity join: its words, the share of links at
+#: the least similarity that its tables may miss, the radius in deviations.
+WORDS, MISS, WIDE = 4, 0.01, 2.5
+#: Texts of a tile of the exact check; of very large groups the tiles grow.
+TILE, MOST_TILES = 128, 64
 
 
 def bit_share(similarity: float) -> float:
@@ -332,20 +320,93 @@ def sampled_masks(n_nodes: int, similarity: float, words: int = WORDS, seed: int
     return out
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are equal."""
+    both = np.concatenate([a, b])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return same / (len(both) - same) if len(both) else 1.0
+
+
+def confirmed(fp: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, cross: bool, radius: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links whose shingle sets do overlap enough, as far as they connect anything new.
+
+    Candidates come from the bit-sliced comparison, one block of queries after
+    the other; a pair that earlier links connect already is not looked at.
+    """
+    root = list(range(len(fp)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    left, right = [], []
+    for at in range(0, len(fp), 128):
+        i, j = tile_pairs(fp[at : at + 128], fp, radius)
+        i = i + at
+        keep = (i < j) & ((tile[i] != tile[j]) if cross else True)
+        for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+            p, q = find(x), find(y)
+            if p != q and overlap(sets[x], sets[y]) >= similarity:
+                root[max(p, q)] = min(p, q)
+                left.append(x)
+                right.append(y)
+    return left, right
+
+
+def confirm(texts: DataFrame, words: list[str], radius: int, similarity: float, k: int) -> DataFrame:
+    """(a, b) links within candidate groups, from rows (node, root, text, words)."""
+
+    def sets_of():
+        def kernel(batch):
+            return [pa.array([np.unique(np.array(shingle_hashes(t, k), np.uint64)).tobytes() for t in batch.column("text").to_pylist()], pa.binary())]
+
+        return kernel
+
+    rows = add_columns(texts, [T.StructField("set", T.BinaryType())], sets_of, by="text", drop=("text",)).dropDuplicates(["node"])
+    rows = materialize(rows, "shingle-sets")
+    size = rows.groupBy("root").agg(F.count("*").alias("n"))
+    tiles = F.least(F.lit(MOST_TILES), F.ceil(F.col("n") / TILE)).cast("int")
+    rows = rows.join(size, "root").where("n > 1").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("root", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "set", *words)
+    rows = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+
+    def run(batches):
+        for key, t in table_groups(batches, ["root", "p", "q"]):
+            if len(t) > 1:
+                node = t.column("node").to_numpy()
+                fp = np.stack([t.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
+                sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+                i, j = confirmed(fp, sets, t.column("tile").to_numpy(), key[1] != key[2], radius, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(node[i], pa.int64()), pa.array(node[j], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
 def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id): groups of texts whose word shingles overlap by ``similarity`` or more.
+    """(id, component_id): groups of texts linked by word shingles that overlap by ``similarity``.
 
-    The overlap is estimated from 256 bits, to about two hundredths at 0.8, and
-    the radius is half a deviation wide of it; tables of sampled bits find all
-    but ``MISS`` of the links at the least similarity and nearly all above.
+    256-bit fingerprints within a wide radius, met by tables of sampled bits,
+    give candidate groups, which miss about ``MISS`` of the links at the least
+    similarity and next to none above; within a group the shingle sets
+    themselves decide.
     """
     names = [f"fp{i or ''}" for i in range(WORDS)]
-    slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__same"))
     prints = materialize(fingerprints(slim, "__text", k, keep_text=False, words=WORDS).withColumn("node", F.xxhash64(*names)), "fingerprints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("__id").alias("least"), *[F.first(n).alias(n) for n in names]), "simhash-nodes")
+    pick = F.min(F.struct("__id", "__same"))
+    nodes = materialize(prints.groupBy("node").agg(F.min("__id").alias("least"), pick.alias("pick"), *[F.first(n).alias(n) for n in names]), "simhash-nodes")
     share, width = bit_share(similarity), 64 * WORDS
-    radius = int(width * share + 0.75 * (width * share * (1 - share)) ** 0.5)
+    radius = int(width * share + WIDE * (width * share * (1 - share)) ** 0.5)
     root = components(links(nodes, names, sampled_masks(nodes.count(), similarity), radius))
+    groups = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    members = nodes.join(groups, "node").select("node", "root", F.col("pick.__id").alias("__pick"), F.col("pick.__same").alias("__pick_same"), *names)
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    texts = members.join(texts, F.col("__id").eqNullSafe(F.col("__pick")) & (F.xxhash64("text") == F.col("__pick_same"))).select("node", "root", "text", *names)
+    root = components(confirm(texts, names, radius, similarity, k))
     placed = nodes.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = placed.join(least, "root").select("node", "component_id")
