@@ -43,10 +43,10 @@ MOST_SAMPLES = 1 << 17
 LAST = np.int64(2**63 - 1)
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
+def _zip(*arrays: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), level)
 
 
 def _unzip(blob: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
@@ -139,7 +139,7 @@ def make_packs(batches):
     def flush():
         lengths = np.array([len(t) for t in texts], "<i8")
         body = np.frombuffer(b"".join(texts), np.uint8)
-        return _arrow([(part << 24 | serial, len(texts), len(body), _zip(lengths, np.array(ids, "<i8")), _zip(body))], PACK)
+        return _arrow([(part << 24 | serial, len(texts), len(body), _zip(lengths, np.array(ids, "<i8")), _zip(body, level=4))], PACK)
 
     for batch in batches:
         for i, t in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -297,13 +297,14 @@ def deal_suffixes(splitters: np.ndarray):
         for row in _rows(batches):
             pack, pos, ids, left, right, context, done, masks = repeated_contexts(row)
             out = [(-1 - pack.no, pack.no, len(done), _zip(done.astype("<u4"), masks))] if len(done) else []
-            bucket = bucket_of(leading(context), splitters)
-            order = np.lexsort((context[:, REACH + 1], context[:, REACH], bucket)) if len(pos) else np.empty(0, int)
+            lead = leading(context)
+            bucket = bucket_of(lead, splitters)
+            order = np.lexsort((lead[:, 1], lead[:, 0])) if len(pos) else np.empty(0, int)  # in this order neighbours compress each other
             cut = np.searchsorted(bucket[order], np.arange(len(splitters) + 2))
             for b in range(len(splitters) + 1):
                 i = order[cut[b] : cut[b + 1]]
                 if len(i):
-                    out.append((b, pack.no, len(i), _zip(ids[i], pos[i].astype("<u4"), left[i].astype("u1"), right[i].astype("u1"), context[i])))
+                    out.append((b, pack.no, len(i), _zip(ids[i], pos[i].astype("<u4"), left[i].astype("u1"), right[i].astype("u1"), context[i], level=4)))
             yield _arrow(out, DEALT)
 
     return run
