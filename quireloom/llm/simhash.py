@@ -386,18 +386,12 @@ def confirm(texts: DataFrame, words: list[str], radius: int, similarity: float,
     return rows.mapInArrow(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
-def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id): groups of texts linked by word shingles that overlap by ``similarity``.
-
-    256-bit fingerprints within a wide radius, met by tables of sampled bits,
-    give candidate groups, which miss about ``MISS`` of the links at the least
-    similarity and next to none above; within a group the shingle sets
-    themselves decide.
-    """
+def _similar(df: DataFrame, text_col: str, id_col: str, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (__id, node), and nodes (node, root, least, pick): ``pick`` names a row of the node."""
     names = [f"fp{i or ''}" for i in range(WORDS)]
     slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__same"))
     prints = materialize(fingerprints(slim, "__text", k, keep_text=False, words=WORDS).withColumn("node", F.xxhash64(*names)), "fingerprints")
-    pick = F.min(F.struct("__id", "__same"))
+    pick = F.min(F.struct(F.col("__id").isNull().alias("missing"), "__id", "__same"))
     nodes = materialize(prints.groupBy("node").agg(F.min("__id").alias("least"), pick.alias("pick"), *[F.first(n).alias(n) for n in names]), "simhash-nodes")
     share, width = bit_share(similarity), 64 * WORDS
     radius = int(width * share + WIDE * (width * share * (1 - share)) ** 0.5)
@@ -407,19 +401,31 @@ def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: in
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     texts = members.join(texts, F.col("__id").eqNullSafe(F.col("__pick")) & (F.xxhash64("text") == F.col("__pick_same"))).select("node", "root", "text", *names)
     root = components(confirm(texts, names, radius, similarity, k))
-    placed = nodes.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return prints.select("__id", "node"), nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "pick")
+
+
+def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): groups of texts linked by word shingles that overlap by ``similarity``.
+
+    256-bit fingerprints within a wide radius, met by tables of sampled bits,
+    give candidate groups, which miss about ``MISS`` of the links at the least
+    similarity and next to none above; within a group the shingle sets
+    themselves decide.
+    """
+    prints, placed = _similar(df, text_col, id_col, k, similarity)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = placed.join(least, "root").select("node", "component_id")
-    return prints.select("__id", "node").join(labels, "node").select(F.col("__id").alias(id_col), "component_id")
+    return prints.join(labels, "node").select(F.col("__id").alias(id_col), "component_id")
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``df`` with one row of each group of similar texts: that of the least id.
 
-    Of repeated rows one stays.  Rows without an id stay if no row with an id
-    is similar to them.
+    Rows without an id come last in a group; of several rows with the least id
+    that of the least text hash stays, of rows that are equal in both any one.
     """
-    kept = similar(df, text_col, id_col, k, similarity).select(F.col("component_id").alias("__kept")).distinct()
-    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    _, placed = _similar(df, text_col, id_col, k, similarity)
+    kept = placed.groupBy("root").agg(F.min("pick").alias("pick")).select(F.col("pick.__id").alias("__kept"), F.col("pick.__same").alias("__same")).distinct()
+    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")) & (F.xxhash64(text_col) == F.col("__same")), "left_semi")
     same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(text_col)
     return rows.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
