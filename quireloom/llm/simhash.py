@@ -171,21 +171,25 @@ def shifted_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nd
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
 
 
-def tile_pairs(one: np.ndarray, two: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All close pairs between two blocks of fingerprints."""
+def tile_blocks(one: np.ndarray, two: np.ndarray, radius: int, block: int = 256):
+    """All close pairs between two sets of fingerprints, one block of queries after the other."""
     planes, n = planes_of(two), len(two)
     full = np.zeros(planes.shape[1] * 64, bool)
     full[:n] = True
     lanes = np.packbits(full, bitorder="little").view(np.uint64)
-    left, right = [], []
-    for at in range(0, len(one), 256):
-        bits = np.unpackbits(np.ascontiguousarray(one[at : at + 256]).view(np.uint8).reshape(len(one[at : at + 256]), -1), axis=1, bitorder="little")
+    for at in range(0, len(one), block):
+        part = np.ascontiguousarray(one[at : at + block])
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
         query = (np.uint64(0) - bits.astype(np.uint64)).T[:, :, None]
-        alive = np.broadcast_to(lanes, (query.shape[1], len(lanes)))
+        alive = np.broadcast_to(lanes, (len(part), len(lanes)))
         hit = within((q ^ p for q, p in zip(query, planes, strict=True)), alive.copy(), radius)
         pos = lanes_of(np.ascontiguousarray(hit).reshape(-1))
-        left.append(pos // (64 * len(lanes)) + at)
-        right.append(pos % (64 * len(lanes)))
+        yield pos // (64 * len(lanes)) + at, pos % (64 * len(lanes))
+
+
+def tile_pairs(one: np.ndarray, two: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All close pairs between two blocks of fingerprints."""
+    left, right = zip(*tile_blocks(one, two, radius), strict=True)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -207,11 +211,12 @@ def group_links(ids: np.ndarray, fp: np.ndarray, group: np.ndarray, side: np.nda
         two = np.flatnonzero(sides == 2)
         one = np.flatnonzero(sides == 1) if len(two) else np.arange(n)
         rest = two if len(two) else one
-        i, j = tile_pairs(fp[of][one], fp[of][rest], radius)
-        i, j = one[i], rest[j]
-        i, j = i[i != j], j[i != j]
-        if len(i) > n:
-            i, j = forest(i, j, n)
+        i = j = np.empty(0, int)
+        for x, y in tile_blocks(fp[of][one], fp[of][rest], radius):
+            x, y = one[x], rest[y]
+            i, j = np.concatenate([i, x[x != y]]), np.concatenate([j, y[x != y]])
+            if len(i) > n:  # never more than one block's pairs at a time
+                i, j = forest(i, j, n)
         a.append(ids[of][i])
         b.append(ids[of][j])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -343,9 +348,7 @@ def confirmed(fp: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, cross: b
         return x
 
     left, right = [], []
-    for at in range(0, len(fp), 128):
-        i, j = tile_pairs(fp[at : at + 128], fp, radius)
-        i = i + at
+    for i, j in tile_blocks(fp, fp, radius, 128):
         keep = (i < j) & ((tile[i] != tile[j]) if cross else True)
         for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
             p, q = find(x), find(y)
