@@ -48,7 +48,7 @@ def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     raw = docs.select("doc_id", "source", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
-    coded = bpe.decode(bpe.encode(raw, path, pattern, keep_text=False), path, pattern)
+    coded = bpe.encode_and_decode(raw, path, pattern, keep_text=False)
     return coded.select("doc_id", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("exact"))
 
 

@@ -56,6 +56,19 @@ def encode_text(encoding, text: str, limit: int = PIECE_CHARS) -> np.ndarray:
     return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype("<u4", copy=False)
 
 
+IDS = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+DECODED = T.StructField("decoded", T.BinaryType())
+
+
+def _encoded(encoding, texts: list[str]) -> list[pa.Array]:
+    ids = [encode_text(encoding, t) for t in texts]
+    return [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+
+
+def _decoded(encoding, ids: pa.Array) -> pa.Array:
+    return pa.array([encoding.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in ids.to_pylist()], pa.binary())
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``ids`` (packed little-endian unsigned 32-bit integers) and ``n_tokens``.
 
@@ -64,30 +77,34 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep_
 
     def make():
         encoding = load_encoding(path, pattern)
+        return lambda batch: _encoded(encoding, texts_of(batch.column(text_col)))
 
-        def kernel(batch):
-            ids = [encode_text(encoding, t) for t in texts_of(batch.column(text_col))]
-            return [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
-
-        return kernel
-
-    fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    return add_columns(df, fields, make, by=text_col, drop=() if keep_text else (text_col,))
+    return add_columns(df, IDS, make, by=text_col, drop=() if keep_text else (text_col,))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """Add ``decoded``: the raw bytes of packed ids, which need not be valid UTF-8."""
 
+    def make():
+        encoding = load_encoding(path, pattern)
+        return lambda batch: [_decoded(encoding, batch.column(ids_col))]
+
+    return add_columns(df, [DECODED], make, by=ids_col)
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``encode`` and then ``decode`` of its packed ids, by one Python worker instead of two."""
+
     def make():
         encoding = load_encoding(path, pattern)
 
         def kernel(batch):
-            out = [encoding.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(ids_col).to_pylist()]
-            return [pa.array(out, pa.binary())]
+            coded = _encoded(encoding, texts_of(batch.column(text_col)))
+            return [*coded, _decoded(encoding, coded[0])]
 
         return kernel
 
-    return add_columns(df, [T.StructField("decoded", T.BinaryType())], make, by=ids_col)
+    return add_columns(df, [*IDS, DECODED], make, by=text_col, drop=() if keep_text else (text_col,))
 
 
 def unpack(df: DataFrame, ids_col: str = "ids", out: str = "token_ids") -> DataFrame:

@@ -48,8 +48,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, path, pattern, keep_text=False)
-    back = bpe.decode(ids, path, pattern)
+    back = bpe.encode_and_decode(docs, path, pattern, keep_text=False)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -47,6 +47,9 @@ def test_edges(spark):
     assert [c.lower() for c in out.columns] == ["doc_id", "text", "ids", "n_tokens", "decoded", "token_ids"]
     got = out.collect()
     assert len(got) == len(rows)
+    both = bpe.encode_and_decode(df, PATH, PATTERN)
+    assert sorted(both.columns) == ["decoded", "doc_id", "ids", "n_tokens", "text"]
+    assert sorted(map(str, both.select("doc_id", "text", "ids", "n_tokens", "decoded").collect())) == sorted(map(str, out.select("doc_id", "text", "ids", "n_tokens", "decoded").collect()))
     for r in got:
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
         assert r["token_ids"] == whole(r["text"] or "") and r["n_tokens"] == len(r["token_ids"])
