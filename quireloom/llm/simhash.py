@@ -302,7 +302,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 #: The wide fingerprint of the similarity join: its words, the share of links at
 #: the least similarity that its tables may miss, the radius in deviations.
-WORDS, MISS, WIDE = 4, 0.01, 2.5
+WORDS, MISS, WIDE = 4, 0.001, 3.1
 #: Texts of a tile of the exact check; of very large groups the tiles grow.
 TILE, MOST_TILES = 128, 64
 
