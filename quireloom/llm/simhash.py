@@ -1,7 +1,7 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Equal fingerprints collapse into one node first, so a group of exact copies,
-however large, is one row.  Nodes meet by keys made of some of their bits.  For
+Equal fingerprints (in the similarity join: equal sets of shingles) collapse into
+one node first, so a group of exact copies, however large, is one row.  Nodes meet by keys made of some of their bits.  For
 the exact join the fingerprint is cut into ``r + c`` blocks for a radius ``r``:
 two fingerprints within the radius agree on ``c`` whole blocks at least, so each
 choice of ``c`` blocks is a table of keys and no link is lost.  ``c`` follows the
@@ -88,20 +88,38 @@ def mixed(h: np.ndarray, i: int) -> np.ndarray:
     return h
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", k: int = 4, keep_text: bool = True, words: int = 1) -> DataFrame:
-    """Add the fingerprint as signed longs: ``fp``, of further words ``fp1`` and so on."""
+def fingerprints(df: DataFrame, text_col: str = "text", k: int = 4, keep_text: bool = True) -> DataFrame:
+    """Add the fingerprint as a signed long, ``fp``."""
 
     def make():
         def kernel(batch):
             rows = [shingle_hashes(t, k) for t in batch.column(text_col).to_pylist()]
             counts = np.fromiter(map(len, rows), np.int64, len(rows))
             flat = np.fromiter((h for r in rows for h in r), np.uint64, int(counts.sum()))
-            return [pa.array(majority(mixed(flat, i), counts).view(np.int64), pa.int64()) for i in range(words)]
+            return [pa.array(majority(flat, counts).view(np.int64), pa.int64())]
 
         return kernel
 
-    fields = [T.StructField(f"fp{i or ''}", T.LongType()) for i in range(words)]
-    return add_columns(df, fields, make, by=text_col, drop=() if keep_text else (text_col,))
+    return add_columns(df, [T.StructField("fp", T.LongType())], make, by=text_col, drop=() if keep_text else (text_col,))
+
+
+def set_prints(df: DataFrame, text_col: str, k: int, words: int) -> DataFrame:
+    """Replace the text by ``node``, a hash of its set of shingles, and a fingerprint of ``words`` longs."""
+
+    def make():
+        import xxhash
+
+        def kernel(batch):
+            rows = [np.array(shingle_hashes(t, k), np.uint64) for t in batch.column(text_col).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(np.unique(r).tobytes(), SEED) for r in rows], np.uint64)
+            counts = np.fromiter(map(len, rows), np.int64, len(rows))
+            flat = np.concatenate(rows)
+            return [pa.array(x.view(np.int64)) for x in (node, *[majority(mixed(flat, i), counts) for i in range(words)])]
+
+        return kernel
+
+    fields = [T.StructField(n, T.LongType()) for n in ("node", *[f"fp{i or ''}" for i in range(words)])]
+    return add_columns(df, fields, make, by=text_col, drop=(text_col,))
 
 
 #: Nodes of a group that are compared in one tile, and up to which group size
@@ -390,10 +408,13 @@ def confirm(texts: DataFrame, words: list[str], radius: int, similarity: float,
 
 
 def _similar(df: DataFrame, text_col: str, id_col: str, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (__id, node), and nodes (node, root, least, pick): ``pick`` names a row of the node."""
+    """Rows (__id, node), and nodes (node, root, least, pick): ``pick`` names a row of the node.
+
+    A node is one set of shingles; nodes of equal fingerprint are candidates like any others.
+    """
     names = [f"fp{i or ''}" for i in range(WORDS)]
     slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__same"))
-    prints = materialize(fingerprints(slim, "__text", k, keep_text=False, words=WORDS).withColumn("node", F.xxhash64(*names)), "fingerprints")
+    prints = materialize(set_prints(slim, "__text", k, WORDS), "fingerprints")
     pick = F.min(F.struct(F.col("__id").isNull().alias("missing"), "__id", "__same"))
     nodes = materialize(prints.groupBy("node").agg(F.min("__id").alias("least"), pick.alias("pick"), *[F.first(n).alias(n) for n in names]), "simhash-nodes")
     share, width = bit_share(similarity), 64 * WORDS

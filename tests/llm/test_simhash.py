@@ -129,6 +129,25 @@ def test_similar_texts_against_brute_force(spark):
     assert got == {i: docs[w][0] for (i, _), w in zip(docs, want, strict=True)}
 
 
+def check_similar(spark, texts):
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    want = labels(len(docs), jaccard_pairs(texts, 0.8))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()} == dict(enumerate(want))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(want))
+
+
+def test_a_dominant_line_with_different_tails(spark):
+    """A line that is repeated often fixes all majorities, whatever else stands there."""
+    r = random.Random(6)
+    text = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    texts = []
+    for line, times, tail in ((text(9), 100, 300), (text(7), 60, 200), ("word", 400, 240)):
+        texts += [f"{line} " * times + text(tail) for _ in range(3)]
+        texts.append(texts[-1].upper())  # the same set of shingles
+    check_similar(spark, texts)
+
+
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     """A group of many tiles, each text a step away from the last."""
     monkeypatch.setattr(simhash, "TILE", 8)
