@@ -104,14 +104,18 @@ def fingerprints(df: DataFrame, text_col: str = "text", k: int = 4, keep_text: b
 
 
 def set_prints(df: DataFrame, text_col: str, k: int, words: int) -> DataFrame:
-    """Replace the text by ``node``, a hash of its set of shingles, and a fingerprint of ``words`` longs."""
+    """Replace the text by ``node``, a hash of its set of shingles, and a fingerprint of ``words`` longs.
+
+    The fingerprint is that of the set too: shingles count once, so that its
+    bits differ as ``bit_share`` expects however often a passage is repeated.
+    """
 
     def make():
         import xxhash
 
         def kernel(batch):
-            rows = [np.array(shingle_hashes(t, k), np.uint64) for t in batch.column(text_col).to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(np.unique(r).tobytes(), SEED) for r in rows], np.uint64)
+            rows = [np.unique(np.array(shingle_hashes(t, k), np.uint64)) for t in batch.column(text_col).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows], np.uint64)
             counts = np.fromiter(map(len, rows), np.int64, len(rows))
             flat = np.concatenate(rows)
             return [pa.array(x.view(np.int64)) for x in (node, *[majority(mixed(flat, i), counts) for i in range(words)])]

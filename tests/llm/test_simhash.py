@@ -148,6 +148,17 @@ def test_a_dominant_line_with_different_tails(spark):
     check_similar(spark, texts)
 
 
+def test_near_copies_that_differ_in_repeats(spark):
+    """Sets of shingles count, not how often a line stands in a text."""
+    r = random.Random(7)
+    words = lambda n: [f"u{r.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n, size, times in ((300, 10, 10), (1_000, 20, 20), (300, 1, 200)):
+        head, line, tail = words(n // 2), words(size), words(n // 2)
+        texts += [" ".join(head + line * t + tail) for t in (1, times)]
+    check_similar(spark, texts)
+
+
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     """A group of many tiles, each text a step away from the last."""
     monkeypatch.setattr(simhash, "TILE", 8)
