@@ -12,7 +12,8 @@ that with the longer host.
 The array is shipped whole only up to ``MOST_RULES`` rules and ``MOST_BYTES``;
 a larger rule table is probed by a shuffle join on the same digests instead.
 
-Defined results: a null url, or one without ``://``, has an empty host and path
+Defined results: of rules that repeat a host and path the greatest verdict in
+string order holds, whichever way is taken; a null url, or one without ``://``, has an empty host and path
 and matches nothing; repeated rows repeat; an empty table gives an empty table;
 input columns named like outputs give way to them.
 """
@@ -149,7 +150,7 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", otherwise: str
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to ``df``."""
     spark = df.sparkSession
     df = df.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    rules = rules.where("host is not null and path is not null")
+    rules = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     size = rules.agg(F.count("*"), F.sum(F.octet_length("host") + F.octet_length("path"))).first()
     if size[0] > MOST_RULES or (size[1] or 0) > MOST_BYTES:
         return judge_by_join(df, rules, otherwise)
@@ -168,12 +169,12 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", otherwise: str
 
 
 def judge_by_join(df: DataFrame, rules: DataFrame, otherwise: str) -> DataFrame:
-    """The same for a rule table of any size: candidates meet rules by digest in a shuffle join.
+    """The same for distinct rules in any number: candidates meet rules by digest in a shuffle join.
 
     The join carries distinct (host, path) pairs, not rows, so that a page
     repeated many times is probed once.
     """
-    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("v")).withColumn("digest", F.xxhash64(F.concat("host", "path")))
+    rules = rules.select("host", "path", F.col("verdict").alias("v")).withColumn("digest", F.xxhash64(F.concat("host", "path")))
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # distinct lengths of paths
     pairs = df.select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
     labels = F.split("h", r"\.")

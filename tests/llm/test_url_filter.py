@@ -48,6 +48,15 @@ def test_large_rule_tables_go_by_join(spark, monkeypatch):
     assert rows(got) == {i: by_loop(u, queries.URL_RULES) for i, u in enumerate(URLS)}
 
 
+def test_contradicting_rules_on_both_ways(spark, monkeypatch):
+    rules = [("com", "/en/", "block"), ("com", "/en/", "allow"), ("org", "/es/", "allow"), ("org", "/es/", "block")]
+    want = {i: by_loop(u, rules) for i, u in enumerate(URLS)}
+    for most in (url_filter.MOST_RULES, 1):
+        monkeypatch.setattr(url_filter, "MOST_RULES", most)
+        for given in (rules, rules[::-1]):
+            assert rows(url_filter.judge(frame(spark), spark.createDataFrame(given, url_filter.RULE_SCHEMA))) == want
+
+
 def test_colliding_digests(monkeypatch, tmp_path):
     """With one digest for everything the stored strings decide."""
     import xxhash
