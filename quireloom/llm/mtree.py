@@ -2,26 +2,37 @@
 
 Inner products become distances: with one more component ``sqrt(M^2 - |x|^2)``
 for each vector ``x`` (``M`` the largest norm) and 0 for a query, the nearest
-vectors are those of the largest products.  Routing objects are vectors from a
-bounded sample; every vector goes to its nearest one.  Ordered by that parent
-distance, the vectors of a routing object fill pages, so a page is a ring: its
-covering radius and its inner radius are the last and first parent distances.
-Pages lie in groups in shared storage, with all objects' parent distances.
-
-A query first searches the group of its nearest routing object, which gives it
-a k-th best score, and then all other groups.  Within a group it visits pages in
-the order of the bound that the triangle inequality gives from the stored radii,
-stops at the first that cannot hold a better vector, and skips objects whose
-parent distance rules them out.  Scores are exact integers; bounds are widened
-by more than rounding can move them.
-
-Queries travel in blocks, pages in groups: no task holds more than one of each.
+vectors are those of the largest products.  The tree has three levels of nodes:
+
+* routing objects at the top, a bounded sample; every vector goes to its nearest;
+* rings of a routing object's vectors by parent distance, each a group in shared
+  storage with its covering and its inner radius;
+* pages within a group, around routing objects of their own, with covering
+  radii and with their distance to the object above them; entries of a page
+  keep their distance to its object.
+
+A query first searches the group where its own vector lies, which gives it a
+k-th best score.  Then blocks of queries descend: the top level says which
+routing objects may hold better vectors, a join with the rings of those says
+which groups may, and only these meet the block.  Within a group, stored
+distances rule out pages before the distance to their object is computed, pages
+are visited in the order of their bounds, and the stored distances of entries
+rule out entries.  Bounds are widened by more than rounding can move them.
+
+Scores are exact integers: by floating point while no sum can pass 2^53, by
+64-bit integers while none can pass 2^63, else by Python's, and then a score
+beyond 64 bits counts as the nearest 64-bit integer.
+
+Of equal vectors only the rows with the ``k + 1`` smallest ids can be among the
+``k`` best of any query, so a group of copies is that many rows at most in the
+tree.  Sizes of groups, pages and blocks are fixed, whatever the partitions.
 
 Defined results: vectors that are null or have null or non-finite components
-take no part, as queries or candidates; an empty vector scores 0 with all;
-rows without an id take no part; repeated rows are candidates of their own, and
-a query's own row is every row with its id; unequal lengths compare as if filled
-up with zeros; an empty table gives an empty table.
+take no part, as queries or candidates, nor do those whose scaled components are
+beyond double precision's range; an empty vector scores 0 with all; rows without
+an id take no part; repeated rows are candidates of their own, and a query's own
+row is every row with its id; unequal lengths compare as if filled up with
+zeros; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,24 +42,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireloom.llm.common import table_groups
 from quireloom.llm.vectors import is_whole, matrix, same_width
 from quireloom.session import materialize, ship_package
 
-#: Vectors of a page and pages of a group, queries of a block, most routing objects.
-PAGE, GROUP_PAGES, BLOCK, MOST_ROUTES = 256, 32, 256, 512
+#: Vectors of a page, of a group (about), queries of a block, most routing objects and rings of one.
+PAGE, GROUP, BLOCK, MOST_ROUTES, MOST_RINGS = 256, 8192, 256, 512, 256
+#: Products of norms up to which sums are exact in doubles and in 64-bit integers, norms up to which distances are.
+IN_DOUBLE, IN_LONG, IN_RANGE = 2.0**52, 2.0**62, 1e150
+LEAST, MOST = -(2**63) + 1, 2**63 - 1
+
+
+def pack(v: np.ndarray) -> list[bytes]:
+    """Rows of integers held as doubles, one byte string each; equal vectors have equal strings."""
+    small = (np.abs(v) < 2**31).all(axis=1)
+    narrow, out = np.where(small[:, None], v, 0).astype("<i4"), []
+    for i, s in enumerate(small.tolist()):
+        raw, size = (narrow[i].tobytes(), 4) if s else (v[i].astype("<f8").tobytes(), 8)
+        raw = raw.rstrip(b"\0")  # zeros at the end do not count
+        out.append((b"4" if s else b"8") + raw + b"\0" * (-len(raw) % size))
+    return out
+
+
+def unpack(column, width: int) -> np.ndarray:
+    raw = column.to_pylist()
+    out = np.zeros((len(raw), width))
+    for i, b in enumerate(raw):
+        x = np.frombuffer(b, "<i4" if b[:1] == b"4" else "<f8", offset=1)
+        out[i, : len(x)] = x
+    return out
+
 
+def whole_bytes(v: np.ndarray) -> bytes:
+    return v.astype("<i4" if (np.abs(v) < 2**31).all() else "<f8").tobytes()
 
-def quantized(column: pa.Array, scale: int) -> np.ndarray:
-    return np.floor(matrix(column) * scale)
 
+def whole_matrix(raw: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i4" if len(raw) == 4 * n * width else "<f8").reshape(n, width).astype(np.float64)
 
-def to_routes(x: np.ndarray, routes: np.ndarray, top: float, query: bool) -> np.ndarray:
-    """Distances to the routing objects, with the additional component."""
-    x, routes = same_width(x, routes)
-    own, other = (x * x).sum(axis=1), (routes * routes).sum(axis=1)
+
+def distances(x: np.ndarray, y: np.ndarray, top: float, query: bool) -> np.ndarray:
+    """From each of ``x`` to each of ``y``, with the additional component."""
+    x, y = same_width(x, y)
+    own, other = (x * x).sum(axis=1), (y * y).sum(axis=1)
     extra = 0 if query else np.sqrt(np.maximum(0, top - own))[:, None]
     gap = extra - np.sqrt(np.maximum(0, top - other))[None, :]
-    return np.sqrt(np.maximum(0, own[:, None] + other[None, :] - 2 * (x @ routes.T) + gap * gap))
+    return np.nan_to_num(np.sqrt(np.maximum(0, own[:, None] + other[None, :] - 2 * (x @ y.T) + gap * gap)), posinf=0)
+
+
+def most_product(base: np.ndarray, bound: np.ndarray, top: float) -> np.ndarray:
+    """The largest product with a query (``base = |q|^2 + top``) of what is ``bound`` away at least."""
+    if top > IN_RANGE**2:
+        return np.full(bound.shape, np.inf)
+    safe = np.maximum(0, bound - 1e-6 * np.sqrt(base + 1)[:, None])
+    return (base[:, None] - safe * safe) / 2 + 1e-9 * (base[:, None] + 1)
+
+
+def exact_products(q: np.ndarray, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Integer products; those that are surely below ``least`` may be any lower number."""
+    reach = np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(x, axis=1).max(initial=0)
+    if reach < IN_DOUBLE:
+        return (q @ x.T).astype(np.int64)
+    if reach < IN_LONG:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = q @ x.T
+        error = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :] * (q.shape[1] + 2) * 2.0**-50
+        some = ~(near + error < least[:, None]) | (least <= LEAST)[:, None]
+    out = np.full(near.shape, LEAST - 1, np.int64)
+    left, right = [[int(c) for c in row] for row in q], {}
+    for i, j in zip(*np.nonzero(some), strict=True):
+        if j not in right:
+            right[j] = [int(c) for c in x[j]]
+        out[i, j] = min(MOST, max(LEAST, sum(a * b for a, b in zip(left[i], right[j], strict=True))))
+    return out
 
 
 class Best:
@@ -56,7 +123,7 @@ class Best:
 
     def __init__(self, own: np.ndarray, floor: np.ndarray, k: int) -> None:
         self.own, self.k, self.least = own, k, floor.copy()
-        self.score = [np.empty(0) for _ in own]
+        self.score = [np.empty(0, np.int64) for _ in own]
         self.ids = [np.empty(0, np.int64) for _ in own]
 
     def add(self, i: int, score: np.ndarray, ids: np.ndarray) -> None:
@@ -72,16 +139,34 @@ class Best:
             self.least[i] = max(self.least[i], score.min())
 
 
-def search(q: np.ndarray, best: Best, pages: list[dict], routes: np.ndarray, top: float) -> None:
-    """Best-first search of all queries of a block in the pages of a group."""
+class Group:
+    """A group as it is stored: pages, their routing objects and all stored distances."""
+
+    def __init__(self, row: dict) -> None:
+        n, width = row["n"], row["width"]
+        self.ids, self.parent = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["parent"], "<f8")
+        self.x = whole_matrix(row["x"], n, width)
+        self.above = np.frombuffer(row["above"], "<f8")  # of each page's object to the routing object of the group
+        self.objects = whole_matrix(row["objects"], len(self.above), width)
+        self.page, self.cut = np.array(row["page"]), np.array(row["cut"])
+        self.inner, self.outer = self.parent[self.cut[:-1]], self.parent[self.cut[1:] - 1]
+
+
+def search(q: np.ndarray, far: np.ndarray, best: Best, group: Group, top: float) -> None:
+    """Best-first search of all queries of a block in a group; ``far`` is their distance to its routing object."""
+    q, objects = same_width(q, group.objects)
     base = (q * q).sum(axis=1) + top  # |q - x|^2 = base - 2 <q, x>
-    far = to_routes(q, routes, top, query=True)
-    route = np.array([p["route"] for p in pages])
-    inner, outer = np.array([p["inner"] for p in pages]), np.array([p["outer"] for p in pages])
-    d = far[:, route]
-    bound = np.maximum(0, np.maximum(d - outer, inner - d))
-    slack = 1e-9 * (base + 1)
-    most = (base[:, None] - bound * bound) / 2 + slack[:, None]  # the largest product that a page can hold
+    cover = np.zeros(len(objects))
+    np.maximum.at(cover, group.page, group.outer)
+    stored = np.abs(far[:, None] - group.above[None, :]) - cover[None, :]
+    open_ = (most_product(base, np.maximum(0, stored), top) >= best.least[:, None]).any(axis=0)
+    if not open_.any():
+        return
+    d = np.zeros((len(q), len(objects)))
+    d[:, open_] = distances(q, objects[open_], top, query=True)
+    pages = np.flatnonzero(open_[group.page])
+    to = d[:, group.page[pages]]
+    most = most_product(base, np.maximum(0, np.maximum(to - group.outer[pages], group.inner[pages] - to)), top)
     order = np.argsort(-most, axis=1, kind="stable")
     active = np.arange(len(q))
     for step in range(len(pages)):
@@ -91,158 +176,212 @@ def search(q: np.ndarray, best: Best, pages: list[dict], routes: np.ndarray, top
         if not len(active):
             return
         for p in np.unique(at):
-            who = active[at == p]
-            page = pages[p]
-            # objects whose parent distance leaves them no chance with any of these queries are not computed
-            reach = np.sqrt(np.maximum(0, base[who] - 2 * best.least[who]) + 4 * slack[who])
-            parent, own = page["parent"], d[who, p]
-            low, high = np.searchsorted(parent, (own - reach).min() - 1e-6), np.searchsorted(parent, (own + reach).max() + 1e-6, side="right")
-            if low >= high:
-                continue
-            left, right = same_width(q[who], page["x"][low:high])
-            score = left @ right.T
-            for row, i in enumerate(who):
-                best.add(i, score[row], page["ids"][low:high])
-
-
-def read_group(row: dict) -> list[dict]:
-    pages, width = [], row["width"]
-    ids, parent = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["parent"], "<f8")
-    x = np.frombuffer(row["x"], "<i4").reshape(len(ids), width).astype(np.float64)
-    route, cut = np.array(row["route"]), np.array(row["cut"])
-    for k in range(len(route)):
-        s = slice(cut[k], cut[k + 1])
-        pages.append({"route": int(route[k]), "inner": parent[s][0], "outer": parent[s][-1], "ids": ids[s], "parent": parent[s], "x": x[s]})
-    return pages
-
-
-GROUP = "routes array<int>, width int, ids binary, parent binary, x binary, route array<int>, cut array<int>"
-BLOCK_ROW = "home int, width int, ids binary, least binary, q binary"
-FOUND = "query_id long, vec_id long, score double"
-
-
-def build(rows: DataFrame, routes: np.ndarray, top: float, width: int) -> DataFrame:
-    """Page groups from rows (id, x)."""
-
-    def place(batches):
+            who, low, high = active[at == p], group.cut[pages[p]], group.cut[pages[p] + 1]
+            if top <= IN_RANGE**2:
+                # entries whose stored distance leaves them no chance with any of these queries are not computed
+                margin = 1e-6 * np.sqrt(base[who] + 1)
+                reach = np.sqrt(np.maximum(0, base[who] - 2.0 * best.least[who]) + 4e-9 * (base[who] + 1)) + margin
+                parent = group.parent[low:high]
+                low, high = low + np.searchsorted(parent, (to[who, p] - reach - margin).min()), low + np.searchsorted(parent, (to[who, p] + reach + margin).max(), side="right")
+            if low < high:
+                score = exact_products(q[who], group.x[low:high], best.least[who])
+                for row, i in enumerate(who):
+                    best.add(i, score[row], group.ids[low:high])
+
+
+PLACED = "id long, x binary, route int, parent double"
+GROUPED = "id long, x binary, route int, parent double, gid long"
+GROUP_ROW = "gid long, route int, near double, wide double, n int, width int, ids binary, parent binary, x binary, above binary, objects binary, page array<int>, cut array<int>"
+BLOCK_ROW = "home long, size int, width int, ids binary, least binary, q binary"
+FOUND = "query_id long, vec_id long, score long"
+
+
+def record(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def place(rows: DataFrame, routes: np.ndarray, top: float, width: int) -> DataFrame:
+    """Rows (id, x) with their nearest routing object and the distance to it."""
+
+    def run(batches):
         for t in batches:
-            x = matrix(t.column("x"))
-            d = to_routes(x, routes, top, query=False)
-            near = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([t.column("id"), t.column("x"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near])], names=["id", "x", "route", "parent"])
+            if t.num_rows:
+                d = distances(unpack(t.column("x"), width), routes, top, query=False)
+                near = d.argmin(axis=1)
+                yield record(PLACED, t.column("id"), t.column("x"), near.astype(np.int32), d[np.arange(len(d)), near])
 
-    def fill(batches):
-        held: list = []
-
-        def group(t: pa.Table) -> pa.RecordBatch:
-            route = t.column("route").to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]]))
-            ends = [*starts[1:], len(route)]
-            cut = [c for a, b in zip(starts, ends, strict=True) for c in range(a, b, PAGE)]
-            x, _ = same_width(matrix(t.column("x").combine_chunks()), np.zeros((1, width)))
-            used = sorted(set(route.tolist()))
-            return pa.RecordBatch.from_arrays([pa.array([used], pa.list_(pa.int32())), pa.array([width], pa.int32()), pa.array([t.column("id").to_numpy().astype("<i8").tobytes()]), pa.array([t.column("parent").to_numpy().astype("<f8").tobytes()]), pa.array([x.astype("<i4").tobytes()]), pa.array([[int(route[c]) for c in cut]], pa.list_(pa.int32())), pa.array([[*cut, len(route)]], pa.list_(pa.int32()))], names=["routes", "width", "ids", "parent", "x", "route", "cut"])
-
-        size = 0
+    return rows.mapInArrow(run, PLACED)
+
+
+def ring_bounds(placed: DataFrame) -> dict[int, np.ndarray]:
+    """Inner bounds of the rings of each routing object: ``MOST_ROUTES`` rows of ``MOST_RINGS`` at most."""
+    shares = [j / MOST_RINGS for j in range(1, MOST_RINGS)]
+    rows = placed.groupBy("route").agg(F.count("*").alias("n"), F.percentile_approx("parent", shares, 4 * MOST_RINGS).alias("at")).collect()
+    out = {}
+    for r in rows:
+        rings = min(MOST_RINGS, -(-r["n"] // GROUP))
+        out[r["route"]] = np.unique([r["at"][j * MOST_RINGS // rings - 1] for j in range(1, rings)])
+    return out
+
+
+def assign(placed: DataFrame, bounds: dict[int, np.ndarray], tiles: dict[int, int]) -> DataFrame:
+    """Placed rows with their group: routing object, ring and, of rings with too many rows, tile."""
+
+    def run(batches):
         for t in batches:
-            held.append(t)
-            size += t.num_rows
-            while size >= PAGE * GROUP_PAGES:
-                whole = pa.Table.from_batches(held)
-                yield group(whole.slice(0, PAGE * GROUP_PAGES))
-                held = whole.slice(PAGE * GROUP_PAGES).to_batches()
-                size -= PAGE * GROUP_PAGES
-        if size:
-            yield group(pa.Table.from_batches(held))
+            route, parent, ids = (t.column(c).to_numpy() for c in ("route", "parent", "id"))
+            gid = route.astype(np.int64) << 40
+            for r in np.unique(route):
+                of = route == r
+                gid[of] += np.searchsorted(bounds.get(int(r), np.empty(0)), parent[of], side="left").astype(np.int64) << 24
+            for g in np.unique(gid):
+                if (n := tiles.get(int(g), 1)) > 1:
+                    of = gid == g
+                    gid[of] += ((ids[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+            yield record(GROUPED, t.column("id"), t.column("x"), t.column("route"), t.column("parent"), gid)
 
-    placed = rows.mapInArrow(place, "id long, x array<double>, route int, parent double")
-    return placed.repartitionByRange("route", "parent", "id").sortWithinPartitions("route", "parent", "id").mapInArrow(fill, GROUP)
+    return placed.mapInArrow(run, GROUPED)
+
+
+def build(assigned: DataFrame, top: float, width: int) -> DataFrame:
+    """The groups, one row each."""
+
+    def fill(batches):
+        for (gid,), t in table_groups(batches, ["gid"]):
+            x, ids, ring = unpack(t.column("x"), width), t.column("id").to_numpy(), t.column("parent").to_numpy()
+            pick = np.unique(np.linspace(0, len(x) - 1, -(-len(x) // PAGE)).astype(int))
+            d = distances(x, x[pick], top, query=False)
+            near = d.argmin(axis=1)
+            own = d[np.arange(len(x)), near]
+            order = np.lexsort((ids, own, near))
+            near, own = near[order], own[order]
+            starts = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+            cut = [c for a, b in zip(starts, [*starts[1:], len(near)], strict=True) for c in range(a, b, PAGE)]
+            one = lambda v: [v]
+            yield record(GROUP_ROW, one(gid), one(gid >> 40), one(ring.min()), one(ring.max()), one(len(x)), one(width), one(ids[order].astype("<i8").tobytes()), one(own.astype("<f8").tobytes()), one(whole_bytes(x[order])), one(ring[pick].astype("<f8").tobytes()), one(whole_bytes(x[pick])), one(near[cut].tolist()), one([*cut, len(x)]))
+
+    return assigned.repartition("gid").sortWithinPartitions("gid", "parent", "id").mapInArrow(fill, GROUP_ROW)
 
 
 def query_blocks(rows: DataFrame, width: int) -> DataFrame:
-    """Blocks of queries with one home group, from rows (id, x, home, least)."""
+    """Blocks of queries with one home group, from rows (id, x, gid, least); a group with very many is cut by hash."""
+    crowd = rows.groupBy("gid").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 64 * BLOCK)
+    parts = F.ceil(F.coalesce("crowd", F.lit(1)) / F.lit(64 * BLOCK))
+    rows = rows.join(crowd, "gid", "left").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), parts).cast("int")).drop("crowd")
 
     def fill(batches):
-        held: list = []
-
-        def block(t: pa.Table):
-            home = t.column("home").to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
-            for a, b in zip(starts, [*starts[1:], len(home)], strict=True):
-                for i in range(a, b, BLOCK):
-                    s = t.slice(i, min(BLOCK, b - i))
-                    x, _ = same_width(matrix(s.column("x").combine_chunks()), np.zeros((1, width)))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(home[i])], pa.int32()), pa.array([width], pa.int32()), pa.array([s.column("id").to_numpy().astype("<i8").tobytes()]), pa.array([s.column("least").to_numpy().astype("<f8").tobytes()]), pa.array([x.astype("<i4").tobytes()])], names=["home", "width", "ids", "least", "q"])
-
-        size = 0
+        for (gid, _), t in table_groups(batches, ["gid", "part"]):
+            for i in range(0, len(t), BLOCK):
+                s = t.slice(i, BLOCK)
+                x = unpack(s.column("x"), width)
+                yield record(BLOCK_ROW, [gid], [len(s)], [width], [s.column("id").to_numpy().astype("<i8").tobytes()], [s.column("least").to_numpy().astype("<i8").tobytes()], [whole_bytes(x)])
+
+    return rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "id").mapInArrow(fill, BLOCK_ROW)
+
+
+def visits(asked: DataFrame, groups: DataFrame, routes: np.ndarray, top: float, k: int) -> DataFrame:
+    """The best of each group for the queries of each block that meets it, from blocks with ``gid``."""
+
+    def run(batches):
         for t in batches:
-            held.append(t)
-            size += t.num_rows
-            if size >= 16 * BLOCK:
-                yield from block(pa.Table.from_batches(held))
-                held, size = [], 0
-        if size:
-            yield from block(pa.Table.from_batches(held))
+            for i in range(t.num_rows):
+                row = {c: t.column(c)[i].as_py() for c in t.schema.names}
+                own, least = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["least"], "<i8")
+                q = whole_matrix(row["q"], row["size"], row["width"])
+                best = Best(own, least, k)
+                far = distances(q, routes[row["route"]][None, :], top, query=True)[:, 0]
+                search(q, far, best, Group(row), top)
+                size = [len(s) for s in best.score]
+                yield record(FOUND, np.repeat(own, size), np.concatenate(best.ids), np.concatenate(best.score))
 
-    return rows.repartitionByRange("home", "id").sortWithinPartitions("home", "id").mapInArrow(fill, BLOCK_ROW)
+    return asked.select("gid", F.col("ids").alias("qids"), "size", "least", "q").join(groups, "gid").mapInArrow(run, FOUND)
+
+
+def descend(blocks: DataFrame, directory: DataFrame, spans: dict[int, tuple[float, float]], routes: np.ndarray, top: float) -> DataFrame:
+    """(no, gid): the groups that may hold something better for a query of a block."""
+    some = np.array(sorted(spans))
+    near, wide = (np.array([spans[r][i] for r in some.tolist()]) for i in range(2))
+    schema = "no long, home long, route int, base binary, least binary, far binary"
+
+    def at_top(batches):
+        for t in batches:
+            for i in range(t.num_rows):
+                row = {c: t.column(c)[i].as_py() for c in ("no", "home", "size", "width", "least", "q")}
+                q, least = whole_matrix(row["q"], row["size"], row["width"]), np.frombuffer(row["least"], "<i8")
+                base = (q * q).sum(axis=1) + top
+                d = distances(q, routes[some], top, query=True)
+                go = np.flatnonzero((most_product(base, np.maximum(d - wide, near - d), top) >= least[:, None]).any(axis=0))
+                n = len(go)
+                yield record(schema, [row["no"]] * n, [row["home"]] * n, some[go].astype(np.int32), [base.tobytes()] * n, [row["least"]] * n, [d[:, g].tobytes() for g in go])
+
+    def at_rings(batches):
+        for t in batches:
+            for i in range(t.num_rows):
+                row = {c: t.column(c)[i].as_py() for c in t.schema.names}
+                base, d, least = np.frombuffer(row["base"]), np.frombuffer(row["far"])[:, None], np.frombuffer(row["least"], "<i8")
+                bound = np.maximum(d - np.array(row["wide"])[None, :], np.array(row["near"])[None, :] - d)
+                go = (most_product(base, bound, top) >= least[:, None]).any(axis=0)
+                gid = np.array(row["gids"], np.int64)[go]
+                gid = gid[gid != row["home"]]
+                yield record("no long, gid long", [row["no"]] * len(gid), gid)
+
+    rings = directory.groupBy("route").agg(F.collect_list("gid").alias("gids"), F.collect_list("near").alias("near"), F.collect_list("wide").alias("wide"))
+    return blocks.mapInArrow(at_top, schema).join(rings, "route").mapInArrow(at_rings, "no long, gid long")
 
 
 def top_k(df: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of each vector whose id ``every`` divides."""
     spark = df.sparkSession
     ship_package(spark)
-    empty = "query_id long, rank int, vec_id long, score long"
     raw = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
-    finite = F.coalesce(F.col("v").isNotNull() & ((F.size("v") == 0) | is_whole(F.col("v"))), F.lit(False))
-    rows = materialize(raw.where(finite).select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("x")), "vectors")
-    norm = F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)
-    n, top, width = rows.agg(F.count("*"), F.max(norm), F.max(F.size("x"))).first()
-    if not n:
-        return spark.createDataFrame([], empty)
-    some = rows.orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(min(MOST_ROUTES, max(1, n // (4 * PAGE)))).select("x").collect()  # at most MOST_ROUTES rows
-    routes = np.zeros((len(some), max(1, width)))
-    for i, r in enumerate(some):
-        routes[i, : len(r["x"])] = r["x"]
-    routes = np.unique(routes, axis=0)
-
-    groups = materialize(build(rows, routes, top, max(1, width)), "pages")
-    numbered = materialize(groups.withColumn("no", F.monotonically_increasing_id()), "groups")
-    # the directory: one row for each group, and the group of each routing object's innermost pages
-    home = numbered.select(F.explode("routes").alias("route"), "no").groupBy("route").agg(F.min("no").alias("home_no"))
-    order = numbered.select("no").withColumn("gid", (F.row_number().over(Window.orderBy("no")) - 1).cast("int"))
-    numbered = materialize(numbered.join(order, "no"), "groups")
-    n_groups = numbered.count()
-    home = {r["route"]: r["gid"] for r in home.join(order, home["home_no"] == order["no"]).collect()}  # at most MOST_ROUTES rows
-    first = np.array([home.get(i, 0) for i in range(len(routes))])
-
-    def go_home(batches):
-        for t in batches:
-            d = to_routes(matrix(t.column("x")), routes, top, query=False)
-            yield pa.RecordBatch.from_arrays([t.column("id"), t.column("x"), pa.array(first[d.argmin(axis=1)].astype(np.int32)), pa.array(np.full(t.num_rows, -np.inf))], names=["id", "x", "home", "least"])
+    raw = raw.where(F.coalesce(F.col("v").isNotNull() & ((F.size("v") == 0) | is_whole(F.col("v"))), F.lit(False)))
+    schema = "id long, x binary, norm double, width int"
 
-    def visit(batches):
+    def quantize(batches):
         for t in batches:
-            for i in range(t.num_rows):
-                row = {c: t.column(c)[i].as_py() for c in t.schema.names}
-                own, least = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["least"], "<f8")
-                q = np.frombuffer(row["q"], "<i4").reshape(len(own), row["width"]).astype(np.float64)
-                best = Best(own, least, k)
-                search(q, best, read_group(row), routes, top)
-                size = [len(s) for s in best.score]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, size)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.score))], names=["query_id", "vec_id", "score"])
-
-    def visits(blocks, gid):
-        asked = blocks.select(gid.alias("gid"), F.col("ids").alias("qids"), "least", "q")
-        return asked.join(numbered.drop("no"), "gid").mapInArrow(visit, FOUND)
-
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0)
-    at_home = query_blocks(queries.mapInArrow(go_home, "id long, x array<double>, home int, least double"), max(1, width))
-    near = materialize(visits(at_home, F.col("home")), "near")
-    worst = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("floor"))
-    again = queries.mapInArrow(go_home, "id long, x array<double>, home int, least double").join(worst, "id", "left").select("id", "x", "home", F.coalesce("floor", "least").alias("least"))
-    blocks = query_blocks(again, max(1, width))
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_groups - 1)), lambda g: g != F.col("home")))
-    far = visits(blocks.select("*", others.alias("other")), F.col("other")) if n_groups > 1 else None
-    found = near if far is None else near.unionByName(far)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
+            with np.errstate(over="ignore"):
+                x = np.floor(matrix(t.column("v")) * scale) + 0.0
+            ok = np.isfinite(x).all(axis=1)
+            x = x[ok]
+            with np.errstate(over="ignore"):
+                yield record(schema, t.column("id").to_numpy()[ok], pack(x), (x * x).sum(axis=1), np.full(len(x), x.shape[1], np.int32))
+
+    rows = materialize(raw.mapInArrow(quantize, schema), "vectors")
+    n, top, width = rows.agg(F.count("*"), F.max("norm"), F.max("width")).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(1, width)
+    # of equal vectors: the k + 1 smallest ids, and of an id k rows
+    once = Window.partitionBy("x", "id").orderBy("id")
+    least_ids = Window.partitionBy("x").orderBy("id")
+    kept = rows.select("id", "x").withColumn("no", F.row_number().over(once)).where(F.col("no") <= k).drop("no")
+    kept = kept.withColumn("no", F.dense_rank().over(least_ids)).where(F.col("no") <= k + 1).drop("no")
+    some = rows.orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(min(MOST_ROUTES, max(1, n // (4 * PAGE)))).select("x")
+    routes = np.unique(unpack(some.toArrow().column("x"), width), axis=0)  # at most MOST_ROUTES rows
+
+    placed = materialize(place(kept, routes, top, width), "placed")
+    bounds, tiles = {}, {}
+    if n > GROUP:  # otherwise no routing object has more than one ring
+        bounds = ring_bounds(placed)
+        crowded = assign(placed, bounds, {}).groupBy("gid").count().where(F.col("count") > 2 * GROUP).collect()  # at most MOST_ROUTES * MOST_RINGS rows
+        tiles = {r["gid"]: -(-r["count"] // GROUP) for r in crowded}
+    groups = materialize(build(assign(placed, bounds, tiles), top, width), "groups")
+    directory = groups.select("gid", "route", "near", "wide")
+    tops = directory.groupBy("route").agg(F.min("near").alias("a"), F.max("wide").alias("b"), F.count("*").alias("n")).collect()  # MOST_ROUTES rows
+    spans = {r["route"]: (r["a"], r["b"]) for r in tops}
+
+    queries = materialize(assign(place(rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "x"), routes, top, width), bounds, tiles).select("id", "x", "gid"), "queries")
+    at_home = query_blocks(queries.withColumn("least", F.lit(LEAST - 1).cast("long")), width).withColumn("gid", F.col("home"))
+    found = visits(at_home, groups, routes, top, k)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if sum(r["n"] for r in tops) == 1:
+        return ranked(found)
+    found = materialize(found, "near")
+    worst = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least")).select("id", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
+    again = queries.join(worst, "id", "left").select("id", "x", "gid", F.coalesce("floor", F.lit(LEAST - 1)).cast("long").alias("least"))
+    blocks = materialize(query_blocks(again, width).withColumn("no", F.monotonically_increasing_id()), "blocks")
+    asked = blocks.join(descend(blocks, directory, spans, routes, top), "no")
+    return ranked(found.unionByName(visits(asked, groups, routes, top, k)))

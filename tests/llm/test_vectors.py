@@ -97,7 +97,7 @@ def best(rows, every=20, k=20):
     out = []
     for q, v in some:
         if q % every == 0:
-            found = sorted((-int(v @ w), i) for i, w in some if i != q)[:k]
+            found = sorted((-min(mtree.MOST, max(mtree.LEAST, sum(int(a) * int(b) for a, b in zip(v, w)))), i) for i, w in some if i != q)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -106,11 +106,11 @@ def test_top_k_query_against_sql(same):
     same("op10_top_k", queries.QUERIES["op10_top_k"], queries.ORACLE["op10_top_k"])
 
 
-@pytest.mark.parametrize("pages", [(256, 32), (8, 2)])
-def test_top_k(spark, monkeypatch, pages):
-    """Clusters, ties at the last rank and copies, over many pages and groups."""
-    monkeypatch.setattr(mtree, "PAGE", pages[0])
-    monkeypatch.setattr(mtree, "GROUP_PAGES", pages[1])
+@pytest.mark.parametrize("sizes", [(256, 8192, 256), (8, 16, 4)])
+def test_top_k(spark, monkeypatch, sizes):
+    """Clusters, ties at the last rank and copies, over many pages, groups, tiles and blocks."""
+    for name, size in zip(("PAGE", "GROUP", "BLOCK"), sizes, strict=True):
+        monkeypatch.setattr(mtree, name, size)
     r = np.random.default_rng(8)
     rows = [(i, (r.standard_normal(8) * (1 + i % 3)).tolist()) for i in range(300)]
     rows += [(1_000 + i, rows[i % 5][1]) for i in range(200)]
@@ -129,6 +129,31 @@ def test_top_k_edges(spark):
     assert [tuple(x) for x in mtree.top_k(wide).collect()] == [(0, 1, 5, 64 * 128)]
 
 
+@pytest.mark.parametrize("size", [4e7, 1e9, 1e12, 1e100, 3e160])
+def test_top_k_of_large_components(spark, size):
+    """Scores stay exact where 32 and 53 bits do not hold them, and end at 64 bits."""
+    r = np.random.default_rng(9)
+    rows = [(0, [1.0, 0.5]), (20, [size, 0.0]), (3, [2.0, 1.0]), (7, [size, 1.0]), (9, [3.0, 0.0]), (40, [size / 3, -size]), (11, [1e307, 1.0])]
+    rows += [(100 + i, (r.standard_normal(2) * size).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in mtree.top_k(df).collect()) == best([x for x in rows if x[0] != 11])
+
+
+def test_a_group_is_left_out_by_its_radii(spark, monkeypatch):
+    """Far clusters: blocks meet only the groups that their bounds let through."""
+    for name, size in (("PAGE", 8), ("GROUP", 64), ("BLOCK", 8)):
+        monkeypatch.setattr(mtree, name, size)
+    seen = []
+    whole = mtree.visits
+    monkeypatch.setattr(mtree, "visits", lambda asked, groups, *rest: (seen.append((asked.count(), groups.count())), whole(asked, groups, *rest))[1])
+    r = np.random.default_rng(10)
+    rows = [(100 * c + i, (50 * np.eye(16)[c] + 0.1 * r.standard_normal(16)).tolist()) for c in range(8) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in mtree.top_k(df).collect()) == best(rows)
+    (blocks, groups), (again, _) = seen
+    assert again < blocks * groups / 2
+
+
 def test_repeated_ids_in_top_k(spark):
     """A query's own row is every row with its id; another id's repeated rows all count."""
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<double>")
