@@ -13,9 +13,12 @@ The array is shipped whole only up to ``MOST_RULES`` rules and ``MOST_BYTES``;
 a larger rule table is probed by a shuffle join on the same digests instead.
 
 Defined results: of rules that repeat a host and path the greatest verdict in
-string order holds, whichever way is taken; a null url, or one without ``://``, has an empty host and path
-and matches nothing; repeated rows repeat; an empty table gives an empty table;
-input columns named like outputs give way to them.
+string order holds, whichever way is taken; a rule whose host or path is null
+fits nothing; one without a verdict counts only if no other has its host and
+path, and then gives the verdict of urls without a rule; a null url, or one
+without ``://``, has an empty host and path and matches nothing; repeated rows
+repeat; an empty table gives an empty table; input columns named like outputs
+give way to them.
 """
 
 from __future__ import annotations
@@ -56,10 +59,7 @@ def pack(rules: list[tuple[str, str, str]]) -> bytes:
     """The index file: counts, path lengths, sorted digests, offsets, host lengths, verdicts, strings."""
     import xxhash
 
-    last = {}
-    for host, path, verdict in rules:
-        last[host, path] = verdict  # a repeated rule: the last verdict
-    items = sorted((xxhash.xxh64_intdigest((h + p).encode()), h, p, v) for (h, p), v in last.items())
+    items = sorted((xxhash.xxh64_intdigest((h + p).encode()), h, p, v) for h, p, v in rules)  # each host and path once
     words = [(h + p).encode() for _, h, p, _ in items]
     verdicts = sorted({v for *_, v in items})
     lengths = sorted({len(p) for _, _, p, _ in items})
@@ -150,7 +150,8 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", otherwise: str
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to ``df``."""
     spark = df.sparkSession
     df = df.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    rules = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    # repeated rules are resolved here, before either way is taken
+    rules = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.coalesce(F.max("verdict"), F.lit(otherwise)).alias("verdict"))
     size = rules.agg(F.count("*"), F.sum(F.octet_length("host") + F.octet_length("path"))).first()
     if size[0] > MOST_RULES or (size[1] or 0) > MOST_BYTES:
         return judge_by_join(df, rules, otherwise)
@@ -175,11 +176,12 @@ def judge_by_join(df: DataFrame, rules: DataFrame, otherwise: str) -> DataFrame:
     repeated many times is probed once.
     """
     rules = rules.select("host", "path", F.col("verdict").alias("v")).withColumn("digest", F.xxhash64(F.concat("host", "path")))
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # distinct lengths of paths
     pairs = df.select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
     labels = F.split("h", r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    each = pairs.select("h", "p", suffix.alias("s")).where("s <> ''").select("h", "p", "s", F.explode(F.array(*[F.lit(k) for k in lengths])).alias("k")).where("k <= length(p)")
+    # hosts meet the lengths of their rules' paths first, so a url is tried with those lengths only
+    lengths = rules.groupBy(F.col("host").alias("s")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    each = pairs.select("h", "p", suffix.alias("s")).where("s <> ''").join(lengths, "s").select("h", "p", "s", F.explode("lengths").alias("k")).where("k <= length(p)")
     each = each.withColumn("q", F.expr("substring(p, 1, k)")).withColumn("digest", F.xxhash64(F.concat("s", "q")))
     hit = each.join(rules, (each.digest == rules.digest) & (each.s == rules.host) & (each.q == rules.path))
     best = hit.groupBy("h", "p").agg(F.max(F.struct(F.length(F.concat("s", "q")), F.length("s"), F.concat("s", "q").alias("rule"), F.col("v"))).alias("b"))

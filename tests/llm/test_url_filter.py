@@ -57,6 +57,16 @@ def test_contradicting_rules_on_both_ways(spark, monkeypatch):
             assert rows(url_filter.judge(frame(spark), spark.createDataFrame(given, url_filter.RULE_SCHEMA))) == want
 
 
+def test_rules_without_a_verdict_on_both_ways(spark, monkeypatch):
+    rules = [("com", "/en/", None), ("com", "/en/", "block"), ("org", "/es/", None), ("net", "", None)]
+    known = [("com", "/en/", "block"), ("org", "/es/", "allow"), ("net", "", "allow")]
+    want = {i: by_loop(u, known) for i, u in enumerate(URLS)}
+    for most in (url_filter.MOST_RULES, 1):
+        monkeypatch.setattr(url_filter, "MOST_RULES", most)
+        for given in (rules, rules[::-1]):
+            assert rows(url_filter.judge(frame(spark), spark.createDataFrame(given, url_filter.RULE_SCHEMA))) == want
+
+
 def test_colliding_digests(monkeypatch, tmp_path):
     """With one digest for everything the stored strings decide."""
     import xxhash
