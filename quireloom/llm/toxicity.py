@@ -12,12 +12,13 @@ expectation over a clean text of that length by extreme-value statistics
 and a logistic curve, fitted on folds that did not feed the lexicon, turns it
 into a probability.
 
-The lexicon and the curve come from at most ``MOST_TRAIN`` labelled rows, taken
-in hashed order, which also bounds the lexicon; scoring reads all texts whole.
+The lexicon and the curve come from the rows of at most ``MOST_TRAIN`` labelled
+ids, taken in hashed order, and ``MOST_WORDS`` words and beginnings at most; the
+curve sees counts of evidence on a grid.  Scoring reads all texts whole.
 
 Defined results: a null or empty text has no evidence and the score of such;
 labels without an id or a value are ignored, of several labels of an id the
-largest counts; without any labelled rows nothing is toxic (score 0); repeated
+largest counts, and all rows with an id teach; without any labelled rows nothing is toxic (score 0); repeated
 rows repeat; an empty table gives an empty table; input columns named like
 outputs give way to them.
 """
@@ -43,9 +44,16 @@ MOST_TRAIN, FOLDS, HELD_OUT = 20_000, (0, 1, 3), 2
 PRIOR, LEAST_Z, DRIFT = 0.05, 2.5, 0.25
 #: Least log-odds of a lexicon entry, and the lengths of beginnings.
 LEAST_ODDS, BEGIN = 2.0, (6, 5, 4)
+#: Words that may be looked at for the lexicon, those in most toxic documents first; and the grid that the curve is fitted on.
+MOST_WORDS, MOST_EVIDENCE, GRID = 200_000, 50, 64
 WORD = re.compile(r"\w+")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, each in lower case, so that their places are those of the text itself."""
+    return [w.lower() for w in WORD.findall(text)]
+
+
 @dataclass
 class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
@@ -73,29 +81,36 @@ def log_odds(toxic: float, other: float, all_toxic: float, all_other: float) ->
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end exclusive, score), in one pass (Ruzzo and Tompa, 1999)."""
-    total, found = 0.0, []  # (start, end, sum before, sum after)
+    """All maximal scoring segments (start, end exclusive, score), in linear time (Ruzzo and Tompa, 1999).
+
+    Each candidate keeps a link to the nearest one before it with a smaller sum
+    at its left; a search follows these links, and what it passes over is
+    merged or never looked at again.
+    """
+    total, found = 0.0, []  # (start, end, sum before, sum after, link)
     for i, x in enumerate(scores):
         if x <= 0:
             total += x
             continue
         start, before, after = i, total, total + x
         total = after
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= before:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= after:
                 break
-            start, before = found[j][0], found[j][2]
+            # the candidate grows to the left over number j and all behind it
+            start, before, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append((start, i + 1, before, after))
-    return [(a, b, y - x) for a, b, x, y in found]
+            j = link
+        found.append((start, i + 1, before, after, j))
+    return [(a, b, y - x) for a, b, x, y, _ in found]
 
 
 def tokens_of(text: str) -> set[str]:
     """The distinct words of a text and, marked by ``*``, their beginnings."""
-    words = set(WORD.findall(text.lower()))
+    words = set(words_of(text))
     return words.union(*({w[:k] + "*" for w in words if len(w) >= k} for k in BEGIN))
 
 
@@ -172,14 +187,14 @@ def _build(rows, cells: dict, leave_out: int | None) -> tuple[dict[str, float],
     return lexicon, decay, log_k
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset of a logistic curve, with a little shrinkage."""
-    b = np.zeros(2)
-    design = np.stack([np.minimum(x, 50.0), np.ones_like(x)], axis=1)
+    b, weight = np.zeros(2), np.ones_like(x) if weight is None else weight
+    design = np.stack([np.minimum(x, MOST_EVIDENCE), np.ones_like(x)], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
-        grad = design.T @ (y - p) - np.array([0.05, 0.01]) * b
-        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag([0.05, 0.01])
+        grad = design.T @ (weight * (y - p)) - np.array([0.05, 0.01]) * b
+        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([0.05, 0.01])
         step = np.linalg.solve(hess, grad)
         b += step
         if np.abs(step).max() < 1e-9:
@@ -188,7 +203,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, most: int) -> DataFrame:
-    """(text, fold, toxic) of at most ``most`` labelled rows outside the held-out quarter."""
+    """(text, fold, toxic) of the rows of at most ``most`` labelled ids outside the held-out quarter."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold_of(F.col("id"))).where(F.col("fold") != HELD_OUT)
     some = known.orderBy(F.xxhash64("id"), "id").limit(most)  # a proven bound for the broadcast
@@ -216,7 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     # a word with fewer toxic documents cannot reach the least z of a toxic word; the bounded sample bounds what is left
     toxic = sum(F.col(f"n{f}_1") for f in FOLDS)
     other = sum(F.col(f"n{f}_0") for f in FOLDS)
-    rows = table.where((F.col("word") == "") | ((toxic >= 3) & (toxic > other / 2))).collect()
+    known = table.where((F.col("word") == "") | ((toxic >= 3) & (toxic > other / 2)))
+    rows = known.orderBy(F.col("word") != "", F.desc(toxic), "word").limit(MOST_WORDS + 1).collect()
     cells = {(f, y): r[f"n{f}_{y}"] for r in rows if r["word"] == "" for f in FOLDS for y in (0, 1)}
     rows = [r for r in rows if r["word"]]
     if not any(cells.get((f, 1)) for f in FOLDS) or not any(cells.get((f, 0)) for f in FOLDS):
@@ -226,15 +242,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     def measure(batches):
         lookups = {f: (Lookup(lexicon), decay, log_k) for f, (lexicon, decay, log_k) in folds.items()}
         for batch in batches:
-            x = []
+            x = []  # evidence on a grid
             for text, f in zip(texts_of(batch.column("text")), batch.column("fold").to_pylist(), strict=True):
                 lookup, decay, log_k = lookups[f]
-                words = WORD.findall(text.lower())
-                x.append(evidence_of(scan(words, lookup), len(words), decay, log_k))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("toxic")], names=["x", "y"])
+                words = words_of(text)
+                x.append(round(GRID * min(MOST_EVIDENCE, evidence_of(scan(words, lookup), len(words), decay, log_k))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), batch.column("toxic")], names=["x", "y"])
 
-    sample = train.mapInArrow(measure, "x double, y int").toPandas()  # at most ``most`` rows
-    slope, offset = fit_curve(sample["x"].to_numpy(float), sample["y"].to_numpy(float))
+    sample = train.mapInArrow(measure, "x int, y int").groupBy("x", "y").count().orderBy("x", "y").toPandas().to_numpy(float)  # two rows for each step of the grid
+    slope, offset = fit_curve(sample[:, 0] / GRID, sample[:, 1], sample[:, 2])
     lexicon, decay, log_k = _build(rows, cells, None)
     return Model(lexicon, decay, log_k, slope, offset)
 
@@ -245,12 +261,12 @@ ARROW_PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()),
 
 def judge_text(text: str, model: Model, lookup: Lookup) -> tuple[float, list[dict]]:
     """Score of a text and its significant passages, in code points."""
-    words = WORD.findall(text.lower())
+    words = words_of(text)
     segments = scan(words, lookup)
     least = (model.log_k + math.log(max(1, len(words)))) / model.decay
     passages = []
     if segments:
-        at = [m.span() for m in WORD.finditer(text.lower())]
+        at = [m.span() for m in WORD.finditer(text)]
         passages = [{"start": at[a][0], "end": at[b - 1][1], "score": s} for a, b, s in segments if s > least]
     return model.probability(evidence_of(segments, len(words), model.decay, model.log_k)), passages
 

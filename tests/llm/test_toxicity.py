@@ -37,6 +37,87 @@ def test_maximal_segments():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+def test_the_scan_is_linear():
+    """Every new candidate passes over those before it once: a million scores take seconds."""
+    import time
+
+    began = time.time()
+    found = toxicity.maximal_segments([1.0, -2.0] * 500_000)
+    assert len(found) == 500_000 and time.time() - began < 20
+
+
+def test_passages_keep_their_places(spark):
+    """Lower case may be longer than the text itself; places are those of the text."""
+    docs, labels = fixture(spark)
+    model = toxicity.fit(docs, labels)
+    text = "\u0130\u0130 \u0130 w1 " * 5 + "VILE scum filth" + " w4 w5" * 300
+    passages = toxicity.judge_text(text, model, toxicity.Lookup(model.lexicon))[1]
+    assert [text[p["start"] : p["end"]] for p in passages] == ["VILE scum filth"]
+
+
+def best_first(scores):
+    """Maximal segments of a long list: the best one by running sums, then both sides."""
+    out, todo = [], [(0, len(scores))]
+    while todo:
+        lo, hi = todo.pop()
+        best, low, total, at = (0.0, 0, 0), 0.0, 0.0, lo
+        for i in range(lo, hi):
+            total += scores[i]
+            if total - low > best[0]:
+                best = (total - low, at, i + 1)
+            if total < low:
+                low, at = total, i + 1
+        if best[0] > 0:
+            out.append(best)
+            todo += [(lo, best[1]), (best[2], hi)]
+    return out
+
+
+def test_query_against_brute_force(spark, data):
+    """Every score of the query, word by word from the definitions."""
+    import re
+    import zlib
+
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    words = {i: [w.lower() for w in re.findall(r"\w+", t)] for i, t in docs}
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in docs}
+    train = [i for i, _ in docs if i in toxic and fold[i] != 2]
+    marks = {i: set(words[i]) | {w[:k] + "*" for w in words[i] for k in (4, 5, 6) if len(w) >= k} for i in train}
+
+    def learn(ids):
+        n = [sum(len(marks[i]) for i in ids if toxic[i] == y) for y in (0, 1)]
+        seen = ({}, {})
+        for i in ids:
+            for w in marks[i]:
+                seen[toxic[i]][w] = seen[toxic[i]].get(w, 0) + 1
+        lexicon, rate = {}, {}
+        for w, a in seen[1].items():
+            b = seen[0].get(w, 0)
+            every = sum(w in marks[i] for i in train if toxic[i]), sum(w in marks[i] for i in train if not toxic[i])
+            if every[0] < 3 or every[0] <= every[1] / 2:
+                continue
+            p, mass = 0.05 * (a + b), 0.05 * (n[0] + n[1])
+            odds = [math.log((c + p) / (m + mass - c - p)) for c, m in ((a, n[1]), (b, n[0]))]
+            delta = odds[0] - odds[1]
+            if delta >= 2.0 and delta / math.sqrt(1 / (a + p) + 1 / (b + p)) >= 2.5:
+                lexicon[w], rate[w] = delta, (b + p) / (n[0] + mass)
+        return lexicon, *(toxicity.extreme_values(lexicon, rate) if lexicon else (1.0, 0.0))
+
+    def evidence(i, model):
+        lexicon, decay, log_k = model
+        value = lambda w: next((lexicon[x] for x in (w, *(w[:k] + "*" for k in (6, 5, 4) if len(w) >= k)) if x in lexicon), -0.25)
+        return sum(max(0.0, decay * s - log_k - math.log(max(1, len(words[i])))) for s, _, _ in best_first([value(w) for w in words[i]]))
+
+    apart = {f: learn([i for i in train if fold[i] != f]) for f in (0, 1, 3)}
+    x = np.array([round(64 * min(50, evidence(i, apart[fold[i]]))) / 64 for i in train])
+    slope, offset = toxicity.fit_curve(x, np.array([toxic[i] for i in train], float))
+    model = learn(train)
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op9_toxicity"](spark, data).collect()}
+    assert len(got) == len(docs)
+    assert got == pytest.approx({i: 1 / (1 + math.exp(-offset - slope * evidence(i, model))) for i, _ in docs}, abs=1e-6)
+
+
 def test_gaps_are_summed():
     """Runs of words outside the lexicon count as one gap: the segments are those of the word sequence."""
     lookup = toxicity.Lookup({"bad": 2.0, "worse": 5.0})
