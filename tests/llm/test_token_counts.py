@@ -31,11 +31,31 @@ def test_hard_texts(text):
     assert token_counts.count_tokens([text], transducer, splitter).tolist() == [library(text)]
 
 
-def test_a_full_table_starts_anew(monkeypatch):
+def test_a_full_table_keeps_what_is_in_use(monkeypatch):
+    """In the midst of a run too: the table stays within its bound, and counts stay right."""
+    import random
+
+    r = random.Random(1)
     monkeypatch.setattr(token_counts, "MOST_STATES", 50)
+    monkeypatch.setattr(token_counts, "LANES", 16)
+    monkeypatch.setattr(token_counts, "MOST_PAIRS", 20)
     transducer, splitter = token_counts.Transducer(PATH), token_counts.compiled(PATH)[1]
-    for text in ("some words to fill the table with states", "and quite different letters zyx"):
+    texts = ["some words to fill the table with states", "and quite different letters zyx", "".join(r.choice("abcdefgh") for _ in range(3_000))]
+    for chunk in (7, 128):
+        assert token_counts.count_tokens(texts, transducer, splitter, chunk).tolist() == [library(t) for t in texts]
+    assert len(transducer.states) <= 50 + 16 + 2 and len(transducer.pairs) <= 20
+
+
+def test_text_without_boundaries(monkeypatch):
+    """Maps of open chunks compose: turns of the scan do not follow the length of the text."""
+    transducer, splitter = token_counts.compiled(PATH)
+    turns = []
+    whole = token_counts.Transducer._lockstep
+    monkeypatch.setattr(token_counts.Transducer, "_lockstep", lambda self, *a, **k: (turns.append(1), whole(self, *a, **k))[1])
+    for text in ("a" * 1_000_000, "abcab" * 100_000, "=" * 500_000):
+        turns.clear()
         assert token_counts.count_tokens([text], transducer, splitter).tolist() == [library(text)]
+        assert len(turns) < 40
 
 
 def test_query_against_the_library(spark, data):
