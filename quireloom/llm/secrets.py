@@ -1,20 +1,27 @@
 """Secret scans: fixed patterns, and formats learned by grammar inference.
 
 Base spans come from three patterns.  Beyond them, every run of 16 and more
-characters that a credential may be made of is scored by two probabilistic
-automata, one inferred from labelled credentials and one from labelled ordinary
-strings.  Each is a prefix tree whose states are merged as long as a Hoeffding
-test finds their frequencies compatible.  A run whose log-likelihood ratio for
-a character exceeds the threshold is a span of kind ``format``, unless a base
-span covers part of it.
-
-The labelled strings are made from public formats with a fixed seed, so every
-run, of whatever size, uses the same automata; they are bounded by
-``PER_FORMAT`` strings for each format.
+characters that a credential may be made of is a candidate, whether a base span
+touches it or not, and two probabilistic automata score it: one inferred from
+labelled credentials, one from ordinary strings.  Each is a prefix tree whose
+states are merged as long as a Hoeffding test finds their frequencies
+compatible.  A run whose log-likelihood ratio for a character exceeds the
+threshold is a span of kind ``format``; where a base span covers the same run
+both are reported.
+
+The labelled credentials are the secrets that the base patterns find in the
+documents themselves, at most ``MOST_LABELLED`` distinct ones in hashed order,
+with strings of public formats beside them; the ordinary strings are runs of the
+documents that no base span touches, as many at most, with made-up ordinary ones
+(words, paths, dates, numbers, UUIDs, plain ids) beside them; unlabelled runs that
+look more like the credentials are taken out of these.  A quarter of both
+is held out from the automata: the threshold leaves ``MOST_WRONG`` of the
+held-out ordinary strings above it.
 
 Defined results: a null or empty text has no spans; spans are in code points,
 end exclusive, ordered by start and then kind; repeated rows repeat; an empty
-table gives an empty table; an input column ``spans`` gives way to the output.
+table gives an empty table; without documents the made-up strings alone teach;
+an input column ``spans`` gives way to the output.
 """
 
 from __future__ import annotations
@@ -22,22 +29,28 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import lru_cache
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireloom.llm.common import add_columns, texts_of
+from quireloom.llm.common import add_columns, slices, texts_of
+from quireloom.session import ship_package
 
 KINDS = ("assign", "access", "hex", "format")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}")
 
 PER_FORMAT, ALPHA, FLOOR, BACK_OFF = 80, 0.02, 1e-4, 0.1
+#: Most labelled strings of either kind that the documents give, characters of one that count, and the
+#: share of held-out ordinary strings that may score above the threshold.
+MOST_LABELLED, MOST_LENGTH, MOST_WRONG = 600, 256, 0.02
 
 
 class Automaton:
@@ -62,6 +75,7 @@ class Automaton:
                 self.visits[s] += 1
             self.stops[s] += 1
         self._merge_states(math.sqrt(0.5 * math.log(2 / alpha)))
+        self._drop_what_was_merged()
         self.log = [{x: math.log(n / self.visits[s]) for x, n in self.seen[s].items()} for s in range(len(self.to))]
         all_seen: dict = {}
         for row in self.seen:
@@ -101,6 +115,17 @@ class Automaton:
                 else:
                     self.to[p][x] = self.to[q][x]
 
+    def _drop_what_was_merged(self) -> None:
+        """Keep the states that can be reached; what was poured into others would count twice."""
+        order, new = [0], {0: 0}
+        for s in order:
+            for t in self.to[s].values():
+                if t not in new:
+                    new[t] = len(order)
+                    order.append(t)
+        self.to = [{x: new[t] for x, t in self.to[s].items()} for s in order]
+        self.seen, self.stops, self.visits = ([old[s] for s in order] for old in (self.seen, self.stops, self.visits))
+
     def _merge_states(self, bound: float) -> None:
         red = [0]
         is_red = {0}
@@ -172,25 +197,89 @@ def labelled(seed: int = 7, each: int = PER_FORMAT) -> tuple[list[str], list[str
         lambda: f"{word()}/{take(NUM, 4)}/{take(NUM, 2)}/{take(NUM, 2)}/{word()}-{word()}.html", lambda: take(NUM, r.randint(16, 24)), lambda: "=" * r.randint(16, 60), lambda: "-" * r.randint(16, 60), lambda: "_" * r.randint(16, 60), lambda: "." * r.randint(16, 60),
         lambda: f"{take(NUM, 4)}-{take(NUM, 2)}-{take(NUM, 2)}.{take(NUM, 6)}", lambda: (word() + word() + word()).upper() + "_" + word().upper() + word().upper(), lambda: f"{word()}{word()}.{word()}{take(NUM, 3)}.example.com", lambda: r.choice(LOW) * r.randint(16, 40),
         lambda: f"{word()}.{word()}={word()}-{take(NUM, 2)}.{take(NUM, 1)}", lambda: f"{word()}-{word()}-{take(NUM, 6)}-{word()}", lambda: f"{word()}{take(NUM, 1)}.{word()}.{r.choice(('com', 'net', 'org'))}", lambda: f"{word()}.{word()}.{take(NUM, 2)}.{word()}",
+        lambda: "-".join(take(NUM + "abcdef", n) for n in (8, 4, 4, 4, 12)), lambda: "-".join(take(NUM + "ABCDEF", n) for n in (8, 4, 4, 4, 12)), *[lambda: take(alnum, r.randint(16, 24))] * 3, *[lambda: take(LOW + NUM, r.randint(16, 24))] * 2,
         lambda: f"{take(NUM, 3)}-{take(NUM, 3)}-{take(NUM, 4)}-{take(NUM, 4)}", lambda: f"{word()}{take(NUM, 2)}_{word()}{take(NUM, 2)}_{word()}",
     ]
     long = lambda f: next(s for s in iter(f, None) if len(s) >= 16)
     return [long(f) for f in good for _ in range(each)], [long(f) for f in plain for _ in range(each)]
 
 
-@lru_cache(maxsize=1)
-def automata() -> tuple[Automaton, Automaton, float]:
-    """Both automata, and the threshold: above all ratios of fresh ordinary strings, with a margin."""
-    good, plain = labelled()
-    a, b = Automaton([symbols(x) for x in good]), Automaton([symbols(x) for x in plain])
-    _, fresh = labelled(seed=8, each=40)
-    return a, b, max(0.0, max(score(x, a, b) for x in fresh)) + 0.05
-
-
 def score(text: str, good: Automaton, plain: Automaton) -> float:
     """Log-likelihood ratio of being a credential, for a character."""
     s = symbols(text)
-    return (good.loglik(s) - plain.loglik(s)) / len(text)
+    return (good.loglik(s) - plain.loglik(s)) / max(1, len(s))
+
+
+@dataclass
+class Learned:
+    """Both automata and the threshold, with what they do to held-out strings."""
+
+    good: Automaton
+    plain: Automaton
+    least: float
+    precision: float = 1.0
+    recall: float = 1.0
+
+
+def held_out(strings: list[str]) -> tuple[list[str], list[str]]:
+    """Three quarters to learn from and one to judge by, by hash."""
+    import xxhash
+
+    last = [s for s in strings if xxhash.xxh64_intdigest(s.encode(), 11) % 4 == 3]
+    apart = set(last)
+    return [s for s in strings if s not in apart], last
+
+
+def infer(secrets: list[str], ordinary: list[str]) -> Learned:
+    """Automata from labelled strings of the documents and made-up ones.
+
+    Runs of the documents that no pattern labels may be credentials all the
+    same: those that a first pair of automata finds likelier so do not count as
+    ordinary for the second.
+    """
+    made, plain = labelled()
+    if ordinary:
+        first = [Automaton([symbols(x[:MOST_LENGTH]) for x in held_out(some)[0]]) for some in (secrets + made, ordinary + plain)]
+        ordinary = [x for x in ordinary if score(x, *first) <= 0]
+    (good, good_last), (other, other_last) = held_out(secrets + made), held_out(ordinary + plain)
+    a, b = Automaton([symbols(x[:MOST_LENGTH]) for x in good]), Automaton([symbols(x[:MOST_LENGTH]) for x in other])
+    wrong = np.array([score(x, a, b) for x in other_last])
+    least = max(0.0, float(np.quantile(wrong, 1 - MOST_WRONG)))
+    found, false = sum(score(x, a, b) > least for x in good_last), int((wrong > least).sum())
+    return Learned(a, b, least, found / max(1, found + false), found / max(1, len(good_last)))
+
+
+LABELLED = "secret boolean, text string, place long"
+
+
+def learn(df: DataFrame, text_col: str = "text") -> Learned:
+    """The automata of a table of documents, from at most ``MOST_LABELLED`` distinct strings of each kind."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            for part in slices(batch, text_col):
+                seen: dict = {}
+                for text in texts_of(part.column(text_col)):
+                    base = base_spans(text)
+                    for a, k, b in base:
+                        value = ASSIGN.fullmatch(text, a, b)[2] if k == 0 else text[a:b]
+                        if len(value) >= 16:
+                            seen[value, True] = None
+                    for m in RUN.finditer(text):
+                        if not any(s < m.end() and m.start() < e for s, _, e in base):
+                            seen[m[0], False] = None
+                rows = sorted((xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), 5) >> 1, t, y) for t, y in seen)
+                rows = [r for y in (True, False) for r in [r for r in rows if r[2] is y][:MOST_LABELLED]]
+                yield pa.RecordBatch.from_arrays([pa.array([y for *_, y in rows], pa.bool_()), pa.array([t for _, t, _ in rows], pa.string()), pa.array([h for h, *_ in rows], pa.int64())], names=["secret", "text", "place"])
+
+    found = df.select(text_col).mapInArrow(run, LABELLED).groupBy("secret", "text", "place").count()
+    both = found.where("secret").orderBy("place", "text").limit(MOST_LABELLED).unionByName(found.where("not secret").orderBy("place", "text").limit(MOST_LABELLED))
+    rows = both.select("secret", "text").collect()  # at most twice MOST_LABELLED rows
+    some = sorted(r["text"] for r in rows if r["secret"])
+    return infer(some, sorted({r["text"] for r in rows if not r["secret"]} - set(some)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -205,24 +294,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def all_spans(text: str, learned) -> list[tuple[int, int, int]]:
-    good, plain, least = learned
-    found = base_spans(text)
-    more = []
-    for m in RUN.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e in found) and score(m[0], good, plain) > least:
-            more.append((a, 3, b))
-    return sorted(found + more)
+def all_spans(text: str, learned: Learned) -> list[tuple[int, int, int]]:
+    more = [(m.start(), 3, m.end()) for m in RUN.finditer(text) if score(m[0], learned.good, learned.plain) > learned.least]
+    return sorted(base_spans(text) + more)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find(df: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """Add ``spans``."""
-    learned = automata()
+def find(df: DataFrame, text_col: str = "text", keep_text: bool = True, learned: Learned | None = None) -> DataFrame:
+    """Add ``spans``; the automata are those of ``df`` unless others are given."""
+    learned = learned or learn(df, text_col)
 
     def make():
         def kernel(batch):
@@ -245,9 +328,9 @@ def redact_text(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]", learned: Learned | None = None) -> DataFrame:
     """Replace every span by ``mark``; a null text stays null."""
-    learned = automata()
+    learned = learned or learn(df, text_col)
     order = df.columns
 
     def make():
