@@ -4,24 +4,37 @@ Equal vectors collapse into one node with a weight.  A neighbour graph starts
 from random hyperplane blocks and is refined in rounds: along each edge (u, v),
 ``u`` meets the neighbours of ``v`` and keeps those nearer than its farthest
 neighbour so far; reversed edges compete too.  These joins carry one-byte codes,
-which is enough to rank neighbours.  Edges near the threshold link nodes into
-candidate groups.  A list that is full of such edges is saturated; its node's
-list is enlarged to its whole candidate group, whose members meet tile by tile
-in double precision.  So lists of large groups are complete, and only links at
-or above the threshold remain.  An audit compares a bounded sample of nodes with
-all others exactly; while it finds too few links, another graph from other
-hyperplanes, with longer lists, joins the first.
+which is enough to rank neighbours.
+
+A list whose last entry is near the threshold still is saturated.  Lists of
+saturated nodes are enlarged to ``LONG`` entries near the threshold and refined
+again, round after round.  Threshold edges of all lists are then checked in double
+precision and stay as links.  Nodes that are saturated at ``LONG`` lie in dense
+regions, where the links themselves number the square of the nodes.  Two such
+nodes are compared in blocks instead: connected dense nodes fall into cells
+around pivots and tiles of at most about ``TILE`` nodes, and two tiles meet
+unless the angles between their pivots and the radii of their cells rule a link
+out.  Nothing is cut at ``LONG``: every list entry counts, and what the lists of
+dense nodes lack, blocks find.
+
+An audit compares a bounded sample of nodes, half of them with links and half
+without, with all others exactly.  While the mean share of links found is below
+``RECALL`` in either half, another graph from other hyperplanes joins the first.
+If it stays below, a warning says so; below ``LEAST_RECALL`` the job fails.
 
 Defined results: a vector that is null, empty, zero or has null or non-finite
 components links with nothing; repeated rows count as vectors of their own; rows
 without an id have the least id they reach as component, null if there is none,
 and are not kept; vectors of unequal length are compared as if filled up with
-zeros; an empty table gives an empty table; the result has the columns named
-below only.
+zeros; lengths are taken after scaling, so components near the ends of double
+precision's range do no harm; an empty table gives an empty table; the result
+has the columns named below only.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,22 +46,30 @@ from quireloom.llm.components import components, forest
 from quireloom.llm.vectors import is_whole, matrix, same_width
 from quireloom.session import materialize, ship_package
 
-#: Neighbours of a node, blocks of the first graph, hyperplane tables, rounds.
-LIST, BLOCK, TABLES, ROUNDS = 8, 128, 4, 4
+#: Neighbours of a node at first and of a saturated one at last, blocks of the first graph, hyperplane tables, rounds.
+LIST, LONG, BLOCK, TABLES, ROUNDS = 8, 128, 128, 4, 4
 #: A round that changes fewer than this share of all list entries is the last.
 STILL = 0.01
 #: How far below the threshold an edge by codes may lie and still be checked.
 SLACK = 0.03
-#: Nodes of a tile; a group has at most MOST_TILES, of larger ones the tiles grow.
-TILE, MOST_TILES = 128, 64
-#: Nodes that the audit compares with all others, and the recall it asks for.
-AUDIT, RECALL, TRIES = 512, 0.99, 3
+#: Nodes of a tile, and most pivots of dense regions.
+TILE, PIVOTS = 512, 256
+#: Nodes of each half of the audit, the recall it asks for, tries, and the recall below which the job fails.
+AUDIT, RECALL, TRIES, LEAST_RECALL = 256, 0.99, 3, 0.9
 
 EDGES = "a long, b long, sim float"
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows at length one, whatever the size of their components."""
+    most = np.abs(v).max(axis=1, keepdims=True, initial=0)
+    v = v / np.where(most > 0, most, 1)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm > 0, norm, 1)
+
+
 def codes_of(v: np.ndarray) -> np.ndarray:
-    return np.rint(v / np.linalg.norm(v, axis=1, keepdims=True) * 127).astype(np.int8)
+    return np.rint(unit(v) * 127).astype(np.int8)
 
 
 def unpack(column: pa.Array, rows: int) -> np.ndarray:
@@ -68,8 +89,7 @@ def first_graph(nodes: DataFrame, n_nodes: int, seed: int, size: int) -> DataFra
 
     def place(batches):
         for t in batches:
-            v = matrix(t.column("vec"))
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+            v = unit(matrix(t.column("vec")))
             for table in range(TABLES):
                 planes = np.random.default_rng([seed, table]).standard_normal((v.shape[1], bits + 1))
                 side = v @ planes
@@ -92,27 +112,40 @@ def first_graph(nodes: DataFrame, n_nodes: int, seed: int, size: int) -> DataFra
                 yield batch(["a", "b", "sim"], np.repeat(node[a:b], k), node[a:b][best].reshape(-1), np.take_along_axis(sim, best, 1).reshape(-1).astype(np.float32))
 
     placed = nodes.select("node", "vec", "code").mapInArrow(place, "table int, key long, side double, node long, code binary")
-    return placed.repartitionByRange("table", "key", "side").sortWithinPartitions("table", "key", "side").mapInArrow(meet, EDGES)
+    return placed.repartitionByRange("table", "key", "side").sortWithinPartitions("table", "key", "side", "node").mapInArrow(meet, EDGES)
 
 
-def nearest(edges: DataFrame, size: int) -> DataFrame:
-    """The ``size`` best distinct neighbours of each node."""
-    best = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= size)
+def nearest(edges: DataFrame, size: int, only: DataFrame | None = None) -> DataFrame:
+    """The best distinct neighbours of each node, ``LONG`` instead of ``size`` for the nodes (a) of ``only``.
 
+    ``old`` tells edges that were there before from new ones.
+    """
+    best = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.bool_or("old").alias("old"))
+    most = size if only is None else LONG
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= most)
+    if only is not None:
+        ranked = ranked.join(only.withColumn("grows", F.lit(True)), "a", "left").where((F.col("rank") <= size) | F.col("grows")).drop("grows")
+    return ranked.drop("rank")
 
-def one_round(graph: DataFrame, codes: DataFrame, size: int) -> DataFrame:
-    """Join each node with its neighbours' neighbours; new edges that beat its list."""
+
+def one_round(graph: DataFrame, codes: DataFrame, size: int, only: DataFrame | None = None, least: float = -1.0) -> DataFrame:
+    """Join nodes with their neighbours' neighbours: the old edges and new ones that beat the lists.
+
+    With ``only`` (a), the lists of those nodes grow, by edges of ``least`` and more.
+    """
     lists = graph.join(codes.select(F.col("node").alias("b"), F.col("code").alias("b_code")), "b")
-    lists = lists.groupBy(F.col("a").alias("via")).agg(F.collect_list(F.struct("b", "b_code")).alias("list"))  # at most ``size``
-    last = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("least"))
-    ask = graph.select("a", F.col("b").alias("via")).join(last.select("a", F.when(F.col("n") < size, F.lit(-1.0)).otherwise(F.col("least")).cast("float").alias("least")), "a")
+    lists = lists.groupBy(F.col("a").alias("via")).agg(F.collect_list(F.struct("b", "b_code")).alias("list"))  # at most LONG
+    last = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
+    if only is not None:
+        last = last.join(only, "a")
+    beat = F.when(F.col("n") < (size if only is None else LONG), F.lit(least)).otherwise(F.greatest("last", F.lit(least))).cast("float")
+    ask = graph.select("a", F.col("b").alias("via")).join(last.select("a", beat.alias("least")), "a")
     ask = ask.join(codes.select(F.col("node").alias("a"), "code"), "a")
 
     def compare(batches):
         for t in batches:
-            for part in (t.slice(i, 4096) for i in range(0, t.num_rows, 4096)):
-                a, code, least = part.column("a").to_numpy(), unpack(part.column("code"), part.num_rows), part.column("least").to_numpy()
+            for part in (t.slice(i, 1024) for i in range(0, t.num_rows, 1024)):
+                a, code, beaten = part.column("a").to_numpy(), unpack(part.column("code"), part.num_rows), part.column("least").to_numpy()
                 lists = part.column("list")
                 n = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
                 flat = lists.flatten()
@@ -120,80 +153,171 @@ def one_round(graph: DataFrame, codes: DataFrame, size: int) -> DataFrame:
                 row = np.repeat(np.arange(len(a)), n)
                 left, right = same_width(code, other)
                 sim = np.einsum("ij,ij->i", left[row], right).astype(np.float32)
-                new = (sim > least[row]) & (b != a[row])
+                new = (sim > beaten[row]) & (b != a[row])
                 yield batch(["a", "b", "sim"], a[row][new], b[new], sim[new])
 
     new = ask.join(lists, "via").select("a", "code", "least", "list").mapInArrow(compare, EDGES)
-    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-    return nearest(graph.select("a", "b", "sim").unionByName(back).unionByName(new), size)
+    back = graph.where(F.col("sim") >= least).select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
+    return nearest(graph.select("a", "b", "sim", F.lit(True).alias("old")).unionByName(back.unionByName(new).withColumn("old", F.lit(False))), size, only)
 
 
-def descend(nodes: DataFrame, n_nodes: int, seed: int, size: int) -> DataFrame:
-    """The refined neighbour graph (a, b, sim by codes)."""
-    graph = materialize(nearest(first_graph(nodes, n_nodes, seed, size), size), "graph")
+def saturated(graph: DataFrame, size: int, least: float) -> DataFrame:
+    """(a): nodes whose list of ``size`` entries is full of edges at or above ``least``."""
+    return graph.where(F.col("sim") >= least).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= size).select("a")
+
+
+def descend(nodes: DataFrame, n_nodes: int, seed: int, size: int, least: float) -> DataFrame:
+    """The refined neighbour graph (a, b, sim by codes); saturated lists have up to ``LONG`` entries."""
+    codes = nodes.select("node", "code")
+    first = first_graph(nodes, n_nodes, seed, size).withColumn("old", F.lit(False))
+    graph = materialize(nearest(first, size), "graph")
     for _ in range(ROUNDS):
-        new = materialize(one_round(graph, nodes.select("node", "code"), size), "graph")
-        changed = new.join(graph, ["a", "b"], "left_anti").count()
-        graph = new
-        if changed <= STILL * n_nodes * size:
+        graph = materialize(one_round(graph, codes, size), "graph")
+        if graph.where("not old").count() <= STILL * n_nodes * size:
+            break
+    full = materialize(saturated(graph, size, least), "saturated")
+    n_full = full.count()
+    for _ in range(ROUNDS if n_full else 0):
+        graph = materialize(one_round(graph, codes, size, full, least), "graph")
+        if graph.where("not old").count() <= STILL * n_full * size:
             break
-    return graph
+    return graph.drop("old")
+
+
+def checked(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose vectors do reach the threshold."""
+    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("vec").alias("u")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("vec").alias("v")), "b").select("a", "b", "u", "v")
+
+    def run(batches):
+        for t in batches:
+            u, v = same_width(unit(matrix(t.column("u"))), unit(matrix(t.column("v"))))
+            ok = np.einsum("ij,ij->i", u, v) >= threshold
+            yield batch(["a", "b"], t.column("a").to_numpy()[ok], t.column("b").to_numpy()[ok])
+
+    return both.mapInArrow(run, "a long, b long")
+
 
+LINKS = "a long, links long, b long"
 
-def within_groups(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """Exact links of nodes of a candidate group: rows (a, links, b) with a link of ``a`` in ``b`` or none.
 
-    Every two tiles of a group meet once.  ``links`` is the weight that ``a``
-    links to there; the (a, b) are a spanning forest of the links found.
+def within_dense(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """Exact links between dense nodes (node, root): rows (a, links, b) with a link of ``a`` in ``b`` or none.
+
+    ``links`` is the weight that ``a`` links to in a tile; the (a, b) are a
+    spanning forest of the links found there.
     """
-    width = groups.groupBy("root").agg(F.count("*").alias("size"))
-    rows = nodes.join(groups, "node").join(width, "root")
-    tiles = F.least(F.lit(MOST_TILES), F.ceil(F.col("size") / TILE)).cast("int")
-    rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("root", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), F.col("tile").alias("tile"), "node", "weight", "vec")
-    rows = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    rows = nodes.select("node", "weight", "vec").join(groups, "node")
+    some = rows.orderBy(F.xxhash64(F.lit(7), "node"), "node").limit(PIVOTS).select("vec").toArrow()  # at most PIVOTS rows
+    pivots = unit(matrix(some.column("vec").combine_chunks()))
+    angle = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    schema = "root long, cell int, far double, node long, weight long, vec array<double>"
+
+    def place(batches):
+        for t in batches:
+            if t.num_rows:
+                v, p = same_width(unit(matrix(t.column("vec"))), pivots)
+                cos = v @ p.T
+                cell = cos.argmax(axis=1)
+                far = np.arccos(np.clip(cos[np.arange(len(v)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([t.column("root"), pa.array(cell.astype(np.int32)), pa.array(far), t.column("node"), t.column("weight"), t.column("vec")], names=["root", "cell", "far", "node", "weight", "vec"])
+
+    placed = materialize(rows.select("root", "node", "weight", "vec").mapInArrow(place, schema), "dense")
+    cells = placed.groupBy("root", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"))
+    cells = cells.groupBy("root").agg(F.collect_list(F.struct("cell", "n", "far")).alias("cells"))  # at most PIVOTS of them
+
+    def pairs(batches):
+        for t in batches:
+            for root, some in zip(t.column("root").to_pylist(), t.column("cells").to_pylist(), strict=True):
+                at, far, tiles = np.array([c["cell"] for c in some]), np.array([c["far"] for c in some]), np.array([-(-c["n"] // TILE) for c in some])
+                i, j = np.nonzero(angle[np.ix_(at, at)] - far[:, None] - far[None, :] <= reach)
+                yield pa.RecordBatch.from_arrays([pa.array([root] * len(i), pa.int64()), pa.array(at[i], pa.int32()), pa.array(tiles[i], pa.int32()), pa.array(at[j], pa.int32()), pa.array(tiles[j], pa.int32())], names=["root", "cell", "tiles", "other", "others"])
+
+    # a row goes to each pair of its tile with a tile of a cell in reach; the two tiles of a pair are ordered
+    meeting = placed.join(cells.mapInArrow(pairs, "root long, cell int, tiles int, other int, others int"), ["root", "cell"])
+    meeting = meeting.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("long")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    own, other = F.col("cell").cast("long") * F.lit(1 << 32) + F.col("tile"), F.col("other").cast("long") * F.lit(1 << 32) + F.col("with")
+    meeting = meeting.select("root", F.least(own, other).alias("p"), F.greatest(own, other).alias("q"), own.alias("own"), "node", "weight", "vec")
+    meeting = meeting.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
 
     def meet(key, t: pa.Table) -> tuple:
-        node, weight, tile = (t.column(c).to_numpy() for c in ("node", "weight", "tile"))
-        v = matrix(t.column("vec").combine_chunks())
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        node, weight, own = (t.column(c).to_numpy() for c in ("node", "weight", "own"))
+        v = unit(matrix(t.column("vec").combine_chunks()))
         near = v @ v.T >= threshold
         np.fill_diagonal(near, False)
         if key[1] != key[2]:
-            near &= tile[:, None] != tile[None, :]
+            near &= own[:, None] != own[None, :]
         links = near @ weight
         i, j = np.nonzero(np.triu(near))
         a, b = forest(i, j, len(node)) if len(i) else (i, j)
         some = links > 0
-        none = pa.nulls(int(some.sum()), pa.int64())
-        return pa.concat_arrays([pa.array(node[some]), pa.array(node[a])]), pa.concat_arrays([pa.array(links[some].astype(np.int64)), pa.array(np.zeros(len(a), np.int64))]), pa.concat_arrays([none, pa.array(node[b])])
+        return pa.concat_arrays([pa.array(node[some]), pa.array(node[a])]), pa.concat_arrays([pa.array(links[some].astype(np.int64)), pa.array(np.zeros(len(a), np.int64))]), pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(node[b])])
 
     def run(batches):
-        for key, t in table_groups(batches, ["root", "p", "q"]):
+        for key, t in table_groups(batches, ["root", "p", "q"], 2 * TILE):
             yield pa.RecordBatch.from_arrays(list(meet(key, t)), names=["a", "links", "b"])
 
-    return rows.mapInArrow(run, "a long, links long, b long")
-
-
-def audit_links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, weight it should link to) of at most ``AUDIT`` nodes, compared with all."""
-    some = nodes.orderBy(F.xxhash64(F.lit(3), "node")).limit(AUDIT).select("node", "vec").toPandas()
-    asked = np.zeros((len(some), max(map(len, some["vec"]), default=1)))
-    for i, v in enumerate(some["vec"]):
-        asked[i, : len(v)] = v
-    norm = np.linalg.norm(asked, axis=1, keepdims=True)
-    asked, ids = asked / np.where(norm > 0, norm, 1), some["node"].to_numpy()
+    return meeting.mapInArrow(run, LINKS)
+
+
+def links_of(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
+    """Links from the lists, and those between dense nodes from blocks, as rows (a, links, b)."""
+    near = graph.where(F.col("sim") >= threshold - SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dense = materialize(saturated(graph, LONG, threshold - SLACK), "dense-nodes")
+    if dense.isEmpty():
+        pairs = near
+    else:
+        one, two = dense.withColumnRenamed("a", "x"), dense.withColumnRenamed("a", "y")
+        marked = near.join(one, F.col("a") == F.col("x"), "left").join(two, F.col("b") == F.col("y"), "left")
+        inside = F.col("x").isNotNull() & F.col("y").isNotNull()
+        marked = materialize(marked.select("a", "b", inside.alias("inside")), "near")
+        pairs = marked.where("not inside").select("a", "b")
+        roots = components(marked.where("inside").select("a", "b"))
+        groups = dense.select(F.col("a").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    found = checked(nodes, pairs, threshold)
+    weight = nodes.select(F.col("node").alias("b"), "weight")
+    ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    from_lists = ends.join(weight, "b").select("a", F.col("weight").alias("links"), "b")
+    if dense.isEmpty():
+        return from_lists
+    return from_lists.unionByName(within_dense(nodes, groups, threshold))
+
+
+def audit_sample(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, linked, vec): at most ``AUDIT`` nodes with links and as many without."""
+    linked = links.select(F.col("a").alias("node")).distinct().withColumn("linked", F.lit(True))
+    known = nodes.join(linked, "node", "left").select("node", F.coalesce("linked", F.lit(False)).alias("linked"))
+    order = [F.xxhash64(F.lit(3), "node"), "node"]
+    some = known.where("linked").orderBy(*order).limit(AUDIT).unionByName(known.where("not linked").orderBy(*order).limit(AUDIT))
+    return some.join(nodes.select("node", "vec"), "node")
+
+
+def audit_recall(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
+    """The lower of two means of the share of links found: over nodes with links and over nodes without.
+
+    A node counts as one, however many links it has, so that a large group does
+    not hide small ones.
+    """
+    some = audit_sample(nodes, links).toArrow()  # at most 2 * AUDIT rows
+    ids, linked = some.column("node").to_numpy(), some.column("linked").to_numpy()
+    asked = unit(matrix(some.column("vec").combine_chunks())) if len(ids) else np.zeros((0, 1))
 
     def run(batches):
         for t in batches:
-            v, q = same_width(matrix(t.column("vec")), asked)
-            near = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ q.T >= threshold
+            v, q = same_width(unit(matrix(t.column("vec"))), asked)
+            near = v @ q.T >= threshold
             near &= t.column("node").to_numpy()[:, None] != ids[None, :]
-            links = t.column("weight").to_numpy() @ near
-            yield batch(["node", "due"], ids[links > 0], links[links > 0].astype(np.int64))
+            due = t.column("weight").to_numpy() @ near
+            yield batch(["node", "due"], ids[due > 0], due[due > 0].astype(np.int64))
 
-    return nodes.select("node", "weight", "vec").mapInArrow(run, "node long, due long").groupBy("node").agg(F.sum("due").alias("due"))
+    due = {r["node"]: r["due"] for r in nodes.select("node", "weight", "vec").mapInArrow(run, "node long, due long").groupBy("node").agg(F.sum("due").alias("due")).collect()}
+    counts = {r["a"]: r["n"] for r in links.where(F.col("links") > 0).where(F.col("a").isin(ids.tolist())).groupBy("a").agg(F.sum("links").alias("n")).collect()}
+    recall = []
+    for half in (True, False):
+        share = [counts.get(i, 0) / due[i] if i in due else 1.0 for i in ids[linked == half].tolist()]
+        recall.append(sum(share) / len(share) if share else 1.0)
+    return min(recall)
 
 
 def near_duplicates(df: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", threshold: float = 0.9) -> DataFrame:
@@ -205,32 +329,31 @@ def near_duplicates(df: DataFrame, vector_col: str = "embedding", id_col: str =
     usable = is_whole(F.col("vec")) & F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = rows.select("id", F.when(usable, F.col("vec")).alias("vec")).withColumn("h1", F.when(usable, F.xxhash64("vec"))).withColumn("h2", F.when(usable, F.xxhash64(F.lit(1), "vec")))
     found = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.first("vec").alias("vec"), F.count("*").alias("weight"), F.min("id").alias("least"))
+    # a node is named by its hash, so reruns agree; vectors that share the first hash get names in a row
+    found = found.withColumn("node", F.col("h1") + F.row_number().over(Window.partitionBy("h1").orderBy("h2")) - 1)
 
     def encode(batches):
         for t in batches:
             code = codes_of(matrix(t.column("vec")))
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array([c.tobytes() for c in code], pa.binary())], names=[*t.schema.names, "code"])
 
-    found = found.withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(found.mapInArrow(encode, T.StructType([*found.schema.fields, T.StructField("code", T.BinaryType())])), "nodes")
     n_nodes = nodes.count()
-    due, edges, links = None, None, None
+    graph, links, recall = None, spark.createDataFrame([], LINKS), 1.0
     for k in range(TRIES if n_nodes else 0):
-        graph = descend(nodes, n_nodes, seed=11 + k, size=LIST << k)
-        near = graph.where(F.col("sim") >= threshold - SLACK).select("a", "b")
-        edges = near if edges is None else edges.unionByName(near)
-        roots = components(edges)
-        groups = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        links = materialize(within_groups(nodes.select("node", "weight", "vec"), groups, threshold), "links")
-        due = due or {r["node"]: r["due"] for r in audit_links(nodes, threshold).collect()}  # at most AUDIT rows
-        if not due:
-            break
-        got = links.where("b is null").where(F.col("a").isin(list(due))).agg(F.sum("links")).first()[0] or 0
-        if got >= RECALL * sum(due.values()):
+        more = descend(nodes, n_nodes, seed=11 + k, size=LIST << k, least=threshold - SLACK)
+        if graph is not None:  # lists of both graphs, each as long as the longer of the two
+            more = materialize(graph.unionByName(more).groupBy("a", "b").agg(F.max("sim").alias("sim")), "graph")
+        graph = more
+        links = materialize(links_of(nodes, graph, threshold), "links")
+        recall = audit_recall(nodes, links, threshold)
+        if recall >= RECALL:
             break
-    if links is None:
-        links = spark.createDataFrame([], "a long, links long, b long")
-    degree = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"only {recall:.3f} of the links due to audited vectors were found")
+    if recall < RECALL:
+        warnings.warn(f"{recall:.3f} of the links due to audited vectors were found, below {RECALL}", stacklevel=2)
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(links.where("b is not null").select("a", "b"))
     placed = nodes.select("node", "h1", "h2", "weight", "least").join(roots, "node", "left").join(degree, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))

@@ -46,6 +46,67 @@ def check_duplicates(spark, rows):
     assert multiset(got) == multiset([(rows[k][0], n, c, c is not None and rows[k][0] == c) for k, (n, c) in want.items()])
 
 
+def linked_table(spark, folder):
+    """Clusters of all sizes, chains, exact copies and lone vectors, as ``embeddings.parquet``."""
+    r = np.random.default_rng(12)
+    rows = [r.standard_normal(32) for _ in range(300)]
+    for size in (2, 2, 3, 5, 9, 20, 60, 200):
+        center = r.standard_normal(32)
+        rows += [center + 0.15 * r.standard_normal(32) for _ in range(size)]
+    rows += [rows[k] for k in (0, 0, 5, 320)]
+    a, b = np.eye(32)[:2]
+    rows += [np.cos(0.3 * i) * a + np.sin(0.3 * i) * b for i in range(20)]
+    table = [(i, v.tolist(), i % 3) for i, v in enumerate(rows)]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return table
+
+
+def test_embedding_query_on_a_table_with_links(spark, tmp_path, monkeypatch):
+    """Against all pairs, with dense regions in blocks that meet by their radii."""
+    monkeypatch.setattr(nn_descent, "LONG", 32)
+    monkeypatch.setattr(nn_descent, "TILE", 16)
+    monkeypatch.setattr(nn_descent, "PIVOTS", 8)
+    table = linked_table(spark, tmp_path)
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v, _ in table]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in queries.QUERIES["op8_embedding_dedup"](spark, str(tmp_path)).collect()}
+    want = {rows[k][0]: (n, c, c == rows[k][0]) for k, (n, c) in duplicates(rows).items()}
+    assert max(n for n, *_ in want.values()) >= 150
+    assert got == want
+
+
+def test_a_long_chain_in_cells(spark, monkeypatch):
+    """A chain whose links form one component: tiles that meet by the radii of their cells give all links."""
+    monkeypatch.setattr(nn_descent, "LONG", 16)
+    monkeypatch.setattr(nn_descent, "TILE", 32)
+    monkeypatch.setattr(nn_descent, "PIVOTS", 64)
+    n = 3_000
+    t = np.linspace(0, 60, n)  # a curve that winds through eight dimensions
+    v = np.stack([f(k * t / 7) for k in (3, 5, 8, 13) for f in (np.cos, np.sin)], axis=1)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    nodes = spark.createDataFrame([(i, 1, x) for i, x in rows], "node long, weight long, vec array<double>")
+    groups = nodes.selectExpr("node", "0L as root")
+    found = nn_descent.within_dense(nodes, groups, 0.9)
+    degree = {r["a"]: r["n"] for r in found.where("b is null").groupBy("a").agg({"links": "sum"}).withColumnRenamed("sum(links)", "n").collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    assert degree == {i: int(x) - 1 for i, x in enumerate(near.sum(axis=1)) if x > 1}
+
+
+def test_a_recall_that_stays_low_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "links_of", lambda nodes, graph, threshold: spark.createDataFrame([], nn_descent.LINKS))
+    monkeypatch.setattr(nn_descent, "TRIES", 1)
+    df = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(5)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError):
+        nn_descent.near_duplicates(df)
+
+
+def test_components_at_the_ends_of_the_range(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e300, 1e298]), (3, [1e-200, 0.0]), (4, [0.0, 1e-300]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
 def test_embedding_query_against_brute_force(spark, data):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in queries.QUERIES["op8_embedding_dedup"](spark, data).collect()}
@@ -78,9 +139,9 @@ def test_the_audit_asks_for_more(spark, monkeypatch):
     calls = []
     whole = nn_descent.descend
 
-    def poor(nodes, n, seed, size):
+    def poor(nodes, n, seed, size, least):
         calls.append(size)
-        graph = whole(nodes, n, seed, size)
+        graph = whole(nodes, n, seed, size, least)
         return graph.where("false") if len(calls) == 1 else graph
 
     monkeypatch.setattr(nn_descent, "descend", poor)
