@@ -10,16 +10,27 @@ in shared storage) do the work:
 1. Each pack deals the hashes of its anchors, without repeats, to hash ranges;
    a range sends back to each pack those that a second document may hold.
 2. Packs deal the suffixes at these anchors, with the bytes to their left, into
-   buckets by ranges of the leading ``GRAM`` bytes, split at sampled splitters.
-   Within a pack equal contexts of larger documents are settled at once and stay.
+   buckets: ranges of the leading ``GRAM`` bytes, split at sampled splitters, and
+   where the input asks for more buckets than splitters, parts of a range by a
+   hash of these bytes.  Within a pack equal contexts of larger documents are
+   settled at once and stay.
 3. A bucket sorts its suffixes by multikey quicksort, a machine word at a time.
    Common prefixes of neighbours, with the bytes to the left, say which windows
    around the anchors are equal, and the smallest document of each class keeps
    its own.  Suffixes that share an anchor share its ``GRAM`` leading bytes, so
    none that must be compared lie across a boundary of two buckets.
 
+Leading bytes that the sample finds very often (a header, a licence line) would
+fill one bucket whatever the splitters.  Their windows are dealt one by one
+instead, by a hash of the whole window, and compared as whole strings; of equal
+windows in a pack only those of its smallest document travel.
+
+Hashes only sort and deal: bytes are compared before any of them goes, but for
+the hashes of pass 1, where an equal hash of different bytes costs work only.
+
 Defined results: a null or empty text has no bytes; ids order documents, rows
-without an id come last, rows with one id do not remove each other's bytes;
+without an id count as those of the greatest id, 2^63 - 1; rows with one id do
+not remove each other's bytes;
 texts shorter than ``LENGTH`` bytes stay whole; an empty table gives an empty
 table; the result has the id and the columns named below only.
 """
@@ -38,8 +49,8 @@ from quireloom.session import materialize, release, ship_package
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM  # an anchor lies at most so far behind the start of its window
 PACK_BYTES, RANGE_BYTES, LEAST_RANGES = 6 << 20, 12 << 20, 64
-#: Splitters come from at most so many leading strings, whatever the input.
-MOST_SAMPLES = 1 << 17
+#: Most splitters, strings sampled for each, packs that give them, and how many times its share of a bucket makes a lead hot.
+MOST_SPLITTERS, SAMPLE, SAMPLE_PACKS, HOT = 4096, 256, 16, 4
 LAST = np.int64(2**63 - 1)
 
 
@@ -65,7 +76,7 @@ class Pack:
     def __init__(self, row: dict) -> None:
         n = row["docs"]
         self.no = row["pack"]
-        self.size, self.ids = _unzip(row["head"], ("<i8", n), ("<i8", n))
+        self.size, self.ids, self.nameless = _unzip(row["head"], ("<i8", n), ("<i8", n), ("u1", n))
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
         (self.data,) = _unzip(row["body"], ("u1", int(self.size.sum())))
@@ -140,12 +151,12 @@ def make_packs(batches):
     def flush():
         lengths = np.array([len(t) for t in texts], "<i8")
         body = np.frombuffer(b"".join(texts), np.uint8)
-        return _arrow([(part << 24 | serial, len(texts), len(body), _zip(lengths, np.array(ids, "<i8")), _zip(body, level=4))], PACK)
+        return _arrow([(part << 24 | serial, len(texts), len(body), _zip(lengths, np.array([LAST if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], "u1")), _zip(body, level=4))], PACK)
 
     for batch in batches:
         for i, t in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             texts.append(t or b"")
-            ids.append(int(LAST) if i is None else i)
+            ids.append(i)
             size += len(texts[-1])
             if size >= PACK_BYTES:
                 yield flush()
@@ -160,6 +171,17 @@ def _rows(batches):
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
+def range_of(value: np.ndarray, n_ranges: int) -> np.ndarray:
+    """Of 48-bit hashes: their range of equal width."""
+    return (value * np.uint64(n_ranges) >> np.uint64(48) if n_ranges < 1 << 16 else (value >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def runs_of(key: np.ndarray):
+    """Bounds of the runs of equal values."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist() if len(key) else []
+    return zip(edge, [*edge[1:], len(key)], strict=True)
+
+
 def deal_hashes(n_ranges: int):
     """Pass 1, map: a pack's distinct anchor hashes by range; the top bit says whether two documents of it hold one."""
 
@@ -174,12 +196,11 @@ def deal_hashes(n_ranges: int):
             first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
             many = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
             value = value[first]
-            cut = np.searchsorted(value, (np.arange(n_ranges + 1, dtype=object) * 2**48 // n_ranges).astype(np.uint64))
+            bucket = range_of(value, n_ranges)
             out = []
-            for b in range(n_ranges):
-                v, m = value[cut[b] : cut[b + 1]], many[cut[b] : cut[b + 1]]
-                if len(v):
-                    out.append((b, pack.no, len(v), _zip(np.diff(v, prepend=v[:1]) | m.astype(np.uint64) << np.uint64(63), v[:1])))
+            for a, b in runs_of(bucket):  # only the ranges that the pack has something for
+                v, m = value[a:b], many[a:b]
+                out.append((int(bucket[a]), pack.no, len(v), _zip(np.diff(v, prepend=v[:1]) | m.astype(np.uint64) << np.uint64(63), v[:1])))
             yield _arrow(out, DEALT)
 
     return run
@@ -291,42 +312,125 @@ def sample_leads(most: int):
     return run
 
 
-def deal_suffixes(splitters: np.ndarray):
-    """Pass 2: contexts by bucket; bucket -1 - n holds what is settled already."""
+def split_leads(leads: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Splitters of ``n`` ranges from sampled leading strings, and the leads that are hot."""
+    if not len(leads):
+        return np.empty((0, 2), np.uint64), np.empty((0, 2), np.uint64)
+    leads = leads[np.lexsort((leads[:, 1], leads[:, 0]))]
+    distinct, count = np.unique(leads, axis=0, return_counts=True)
+    hot = distinct[count > np.maximum(16, HOT * len(leads) / n)]
+    rest = leads[~is_among(leads, hot)]
+    splitters = np.unique(rest[np.linspace(0, len(rest) - 1, n + 1).astype(int)[1:-1]], axis=0) if len(rest) else hot[:0]
+    return splitters, hot
+
+
+def is_among(lead: np.ndarray, some: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(lead), bool)
+    for a, b in some.tolist():  # a few: each has its share of the sample
+        out |= (lead[:, 0] == np.uint64(a)) & (lead[:, 1] == np.uint64(b))
+    return out
+
+
+def mix_words(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of each row."""
+    words = np.ascontiguousarray(np.pad(data, ((0, 0), (0, -data.shape[1] % 8)))).view("<u8")
+    h = np.full(len(words), seed, np.uint64)
+    for j in range(words.shape[1]):
+        h = (h ^ words[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def hot_windows(pos, ids, left, right, context) -> tuple:
+    """Single windows of contexts with a hot lead: (offset, pos, id, window) to compare, and (pos, mask) settled."""
+    parts, done = [], []
+    for o in range(REACH + 1):
+        at = np.flatnonzero((left >= o) & (right >= LENGTH - o))
+        if not len(at):
+            continue
+        window = np.ascontiguousarray(context[at, REACH - o : REACH - o + LENGTH])
+        order = np.lexsort((ids[at], mix_words(window)))
+        at, window = at[order], window[order]
+        new = np.concatenate([[True], (window[1:] != window[:-1]).any(axis=1)])
+        least = np.minimum.reduceat(ids[at], np.flatnonzero(new))[np.cumsum(new) - 1]
+        later = ids[at] > least
+        done.append((pos[at[later]], np.full(int(later.sum()), 1 << o, np.uint64)))
+        at, window = at[~later], window[~later]
+        parts.append((np.full(len(at), o, "u1"), pos[at], ids[at], window))
+    if not parts:
+        return np.empty(0, "u1"), pos[:0], ids[:0], np.empty((0, LENGTH), np.uint8), pos[:0], np.empty(0, np.uint64)
+    return (*(np.concatenate(x) for x in zip(*parts, strict=True)), *(np.concatenate(x) for x in zip(*done, strict=True)))
+
+
+def deal_suffixes(splitters: np.ndarray, hot: np.ndarray, parts: int, ranges: int):
+    """Pass 2: contexts by bucket, windows of hot leads by bucket from ``ranges`` times two on; -1 - n holds what is settled already."""
 
     def run(batches):
         for row in _rows(batches):
             pack, pos, ids, left, right, context, done, masks = repeated_contexts(row)
-            out = [(-1 - pack.no, pack.no, len(done), _zip(done.astype("<u4"), masks))] if len(done) else []
-            lead = leading(context)
-            bucket = bucket_of(lead, splitters)
-            order = np.lexsort((lead[:, 1], lead[:, 0])) if len(pos) else np.empty(0, int)  # in this order neighbours compress each other
-            cut = np.searchsorted(bucket[order], np.arange(len(splitters) + 2))
-            for b in range(len(splitters) + 1):
-                i = order[cut[b] : cut[b + 1]]
-                if len(i):
-                    out.append((b, pack.no, len(i), _zip(ids[i], pos[i].astype("<u4"), left[i].astype("u1"), right[i].astype("u1"), context[i], level=4)))
+            lead, out = leading(context), []
+            often = is_among(lead, hot)
+            if often.any():
+                offset, p, i, window, more, mask = hot_windows(pos[often], ids[often], left[often], right[often], context[often])
+                done, masks = np.concatenate([done, more]), np.concatenate([masks, mask])
+                bucket = HOT_BUCKETS + (mix_words(window, 1) % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for a, b in runs_of(bucket[order]):
+                    at = order[a:b]
+                    out.append((int(bucket[at[0]]), pack.no, len(at), _zip(i[at], p[at].astype("<u4"), offset[at], window[at], level=4)))
+                pos, ids, left, right, context, lead = (x[~often] for x in (pos, ids, left, right, context, lead))
+            if len(done):
+                out.append((-1 - pack.no, pack.no, len(done), _zip(done.astype("<u4"), masks)))
+            if len(pos):
+                bucket = bucket_of(lead, splitters) * parts
+                if parts > 1:
+                    bucket += (mix_words(context[:, REACH : REACH + GRAM]) >> np.uint64(33)).astype(np.int64) % parts
+                order = np.lexsort((lead[:, 1], lead[:, 0], bucket))  # in this order neighbours compress each other
+                for a, b in runs_of(bucket[order]):
+                    i = order[a:b]
+                    out.append((int(bucket[i[0]]), pack.no, len(i), _zip(ids[i], pos[i].astype("<u4"), left[i].astype("u1"), right[i].astype("u1"), context[i], level=4)))
             yield _arrow(out, DEALT)
 
     return run
 
 
+#: Numbers of buckets from here on hold windows of hot leads.
+HOT_BUCKETS = 1 << 40
+#: Runs of suffixes of which quicksort makes an end.
+SMALL = 512
+#: Factor of the running hash of the bytes to the left.
+STEP = 0x100000001B3
+
+
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Order of the rows of (n, m) words: ties of one word go on to the next."""
-    order = np.argsort(words[:, 0], kind="stable")
-    group = np.cumsum(np.concatenate([[True], words[order[1:], 0] != words[order[:-1], 0]]))
-    for j in range(1, words.shape[1]):
-        same = group[1:] == group[:-1]
-        tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-        if not len(tied):
-            break
-        rows = order[tied]
-        order[tied] = rows[np.lexsort((words[rows, j], group[tied]))]
-        split = np.concatenate([[True], (group[1:] != group[:-1]) | (words[order[1:], j] != words[order[:-1], j])])
-        group = np.cumsum(split)
+    """Order of the rows of (n, m) words by multikey quicksort: three parts by one word, of which the middle goes on to the next."""
+    order, todo = np.arange(len(words)), [(0, len(words), 0)]
+    while todo:
+        lo, hi, d = todo.pop()
+        if hi - lo < 2 or d == words.shape[1]:
+            continue
+        some = order[lo:hi]
+        if hi - lo <= SMALL:
+            order[lo:hi] = some[np.lexsort(words[some, d:].T[::-1])]
+            continue
+        w = words[some, d]
+        pivot = np.sort(w[np.linspace(0, len(w) - 1, 9).astype(int)])[4]
+        less, more = w < pivot, w > pivot
+        a, c = int(less.sum()), int(more.sum())
+        order[lo:hi] = np.concatenate([some[less], some[~(less | more)], some[more]])
+        todo += [(lo, lo + a, d), (lo + a, hi - c, d + 1), (hi - c, hi, d)]
     return order
 
 
+def compare_windows(ids: np.ndarray, offset: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Masks of whole windows that a smaller id holds too."""
+    order = multikey_order(np.ascontiguousarray(np.pad(window, ((0, 0), (0, -LENGTH % 8)))).view(">u8").astype(np.uint64))
+    new = np.concatenate([[True], (window[order[1:]] != window[order[:-1]]).any(axis=1)])
+    least = np.empty(len(ids), np.int64)
+    least[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return np.where(ids > least, np.uint64(1) << offset.astype(np.uint64), np.uint64(0))
+
+
 def compare(ids: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Pass 3 for one bucket: masks of the windows that a smaller id holds too."""
     n = len(ids)
@@ -339,7 +443,7 @@ def compare(ids: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.nd
     mask, behind = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for o in range(REACH + 1):
         if o:
-            behind = (behind ^ context[:, REACH - o]) * np.uint64(0x100000001B3) + np.uint64(o)
+            behind = (behind ^ context[:, REACH - o]) * np.uint64(STEP) + np.uint64(o)
         run = np.cumsum(common < LENGTH - o)
         at = np.flatnonzero((left >= o) & (right >= LENGTH - o))
         if len(at) < 2:
@@ -352,6 +456,13 @@ def compare(ids: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.nd
         by = np.lexsort((behind[at], run[at])) if o else np.arange(len(at))
         at = at[by]
         new = np.concatenate([[True], (run[at[1:]] != run[at[:-1]]) | (behind[at[1:]] != behind[at[:-1]])])
+        if o:  # equal hashes of the bytes to the left: the bytes themselves decide
+            apart = ~new[1:] & (context[at[1:], REACH - o : REACH] != context[at[:-1], REACH - o : REACH]).any(axis=1)
+            if apart.any():
+                left_bytes = context[at, REACH - o : REACH]
+                by = np.lexsort((*left_bytes.T[::-1], run[at]))
+                at, left_bytes = at[by], left_bytes[by]
+                new = np.concatenate([[True], (run[at[1:]] != run[at[:-1]]) | (left_bytes[1:] != left_bytes[:-1]).any(axis=1)])
         first = np.flatnonzero(new)
         least = np.minimum.reduceat(ids[at], first)[np.cumsum(new) - 1]
         mask[at[ids[at] > least]] |= np.uint64(1 << o)
@@ -366,9 +477,14 @@ def compare_buckets(batches):
         if bucket < 0:
             yield _arrow([(bucket, r["pack"], r["n"], r["blob"]) for r in rows], DEALT)
             continue
-        parts = [_unzip(r["blob"], ("<i8", r["n"]), ("<u4", r["n"]), ("u1", r["n"]), ("u1", r["n"]), ("u1", r["n"] * WIDTH)) for r in rows]
-        ids, pos, left, right, context = (np.concatenate(x) for x in zip(*parts, strict=True))
-        mask = compare(ids, left, right, context.reshape(-1, WIDTH))
+        if bucket >= HOT_BUCKETS:
+            parts = [_unzip(r["blob"], ("<i8", r["n"]), ("<u4", r["n"]), ("u1", r["n"]), ("u1", r["n"] * LENGTH)) for r in rows]
+            ids, pos, offset, window = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mask = compare_windows(ids, offset, window.reshape(-1, LENGTH))
+        else:
+            parts = [_unzip(r["blob"], ("<i8", r["n"]), ("<u4", r["n"]), ("u1", r["n"]), ("u1", r["n"]), ("u1", r["n"] * WIDTH)) for r in rows]
+            ids, pos, left, right, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mask = compare(ids, left, right, context.reshape(-1, WIDTH))
         cut = np.cumsum([0, *[r["n"] for r in rows]])
         out = []
         for k, r in enumerate(rows):
@@ -398,7 +514,7 @@ def cut_pack(row: dict) -> pa.RecordBatch:
         turn = np.flatnonzero(np.diff(here, prepend=False, append=False))
         spans.append([{"start": int(s), "end": int(e)} for s, e in zip(turn[::2], turn[1::2], strict=True)])
         kept.append(pack.data[a:b][~here].tobytes() if len(turn) else pack.data[a:b].tobytes())
-    ids = [None if i == LAST else i for i in pack.ids.tolist()]
+    ids = [None if no else i for i, no in zip(pack.ids.tolist(), pack.nameless.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pack.size), pa.array(spans, SPAN), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
 
@@ -420,11 +536,14 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     again = materialize(by_bucket(packs.mapInArrow(deal_hashes(ranges), DEALT), meet_hashes), "again")
     release(spark)
     held = with_packs(again, "inner")
-    some = held.where(F.pmod(F.xxhash64("pack"), F.lit(max(1, total[1] // 16))) == 0)  # packs that give splitters
-    leads = some.mapInArrow(sample_leads(4096), "a long, b long").limit(MOST_SAMPLES).toPandas().to_numpy(np.int64).view(np.uint64)
-    leads = leads[np.lexsort((leads[:, 1], leads[:, 0]))]
-    splitters = np.unique(leads[np.linspace(0, len(leads) - 1, ranges + 1).astype(int)[1:-1]], axis=0) if len(leads) else np.empty((0, 2), np.uint64)
-    masks = materialize(by_bucket(held.mapInArrow(deal_suffixes(splitters), DEALT), compare_buckets), "masks")
+    n_splitters = min(ranges, MOST_SPLITTERS)
+    parts = -(-ranges // n_splitters)
+    few = max(1, total[1] // SAMPLE_PACKS)  # about one pack in so many gives splitters
+    some = held.where(F.pmod(F.xxhash64("pack"), F.lit(few)) == 0)
+    most = SAMPLE * n_splitters  # bounded, as splitters are
+    leads = some.mapInArrow(sample_leads(max(1, most // SAMPLE_PACKS)), "a long, b long").limit(most).toPandas().to_numpy(np.int64).view(np.uint64)
+    splitters, hot = split_leads(leads, n_splitters)
+    masks = materialize(by_bucket(held.mapInArrow(deal_suffixes(splitters, hot, parts, ranges), DEALT), compare_buckets), "masks")
     del held, again
     release(spark)
 

@@ -68,6 +68,46 @@ def test_random_texts(spark, monkeypatch, seed):
     assert run(spark, docs) == sorted_rows(by_windows([(i, t.encode()) for i, t in docs]))
 
 
+def test_one_lead_in_very_many_contexts(spark, monkeypatch):
+    """A header that most texts hold, with other bytes around it: its windows are dealt one by one."""
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 4_000)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 2_000)
+    seen = []
+    whole = suffix_dedup.split_leads
+    monkeypatch.setattr(suffix_dedup, "split_leads", lambda leads, n: (seen.append(whole(leads, n)), seen[-1])[1])
+    r = random.Random(8)
+    tail = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    docs = [(i, tail(r.randint(0, 60)) + "The header that nearly all of the texts hold" + r.choice(["x" * 20, "y" * 20, tail(20)]) + tail(40)) for i in range(400)]
+    docs += [(1_000 + i, docs[i][1]) for i in range(0, 100, 7)]
+    assert run(spark, docs) == sorted_rows(by_windows([(i, t.encode()) for i, t in docs]))
+    assert len(seen[0][1]) > 0
+
+
+def test_bytes_decide_where_hashes_agree(monkeypatch):
+    """With one hash for all bytes to the left, a bucket gives the same masks."""
+    r = np.random.default_rng(6)
+    n, left, right = 300, suffix_dedup.REACH, suffix_dedup.LENGTH
+    context = np.tile(np.frombuffer(b"a" * suffix_dedup.WIDTH, np.uint8), (n, 1)).copy()
+    context[:, :left] = r.choice([97, 98], (n, left), p=[0.97, 0.03])
+    ids, full = r.integers(0, 200, n), np.full(n, 1)
+    want = suffix_dedup.compare(ids, full * left, full * right, context)
+    monkeypatch.setattr(suffix_dedup, "STEP", 0)
+    assert (suffix_dedup.compare(ids, full * left, full * right, context) == want).all()
+    seen: dict = {}
+    for i, c in zip(ids.tolist(), context, strict=True):
+        for o in range(left + 1):
+            key = o, c[left - o : left - o + suffix_dedup.LENGTH].tobytes()
+            seen[key] = min(seen.get(key, i), i)
+    for i, c, m in zip(ids.tolist(), context, want.tolist(), strict=True):
+        assert all((m >> o & 1) == (seen[o, c[left - o : left - o + suffix_dedup.LENGTH].tobytes()] < i) for o in range(left + 1))
+
+
+def test_the_greatest_id_and_none(spark):
+    docs = [(2**63 - 1, "z" * 60), (None, "z" * 60), (None, "y" * 60), (2**63 - 1, "y" * 60)]
+    got = run(spark, docs)
+    assert [i for i, *_ in got] == [2**63 - 1, 2**63 - 1, None, None] and all(not spans for _, _, spans, _ in got)
+
+
 def test_edges(spark):
     long = "".join(random.Random(9).choice("abcdefgh ") for _ in range(400_000))
     docs = [(5, None), (4, ""), (3, "short"), (7, "p" * 49), (8, "p" * 49), (6, long), (9, "q" + long[1_000:1_200]), (10, long), (10, long), (None, long[:100]), (None, long[:100]), (1, "ü" * 60), (2, "ü" * 60)]
@@ -86,10 +126,11 @@ def by_windows_of_long(docs):
 
 def test_multikey_order():
     r = np.random.default_rng(3)
-    words = r.integers(0, 3, (500, 6)).astype(np.uint64)
-    order = suffix_dedup.multikey_order(words)
-    rows = [tuple(x) for x in words[order].tolist()]
-    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(500))
+    for n in (0, 1, 500, 5_000):
+        words = r.integers(0, 3, (n, 6)).astype(np.uint64)
+        order = suffix_dedup.multikey_order(words)
+        rows = [tuple(x) for x in words[order].tolist()]
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(n))
 
 
 def test_anchors_are_found_in_every_window():
@@ -99,7 +140,7 @@ def test_anchors_are_found_in_every_window():
     for n in (0, 7, 1 << 17):
         data = bytes(r.randrange(97, 101) for _ in range(n)) + same + bytes(r.randrange(97, 101) for _ in range(60))
         size, ids = np.array([len(data)], "<i8"), np.array([1], "<i8")
-        pack = suffix_dedup.Pack({"docs": 1, "pack": 0, "head": suffix_dedup._zip(size, ids), "body": suffix_dedup._zip(np.frombuffer(data, np.uint8))})
+        pack = suffix_dedup.Pack({"docs": 1, "pack": 0, "head": suffix_dedup._zip(size, ids, np.zeros(1, "u1")), "body": suffix_dedup._zip(np.frombuffer(data, np.uint8))})
         pos, value, _ = pack.anchors()
         inside = pos[(pos >= n) & (pos <= n + suffix_dedup.REACH)] - n
         raw = np.concatenate([np.frombuffer(same, np.uint8), np.zeros(32, np.uint8)])
