@@ -31,6 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_DOCS, MOST_BLOCKS = 128, 1 << 20
 #: Words that an output shard should hold.
 SHARD_WORDS = 1 << 20
+#: Draws from which on counts are split by the normal law, which then errs by far less than one in the count's root.
+MOST_COUNT = 10**9
 
 
 def n_words(text: Column) -> Column:
@@ -65,6 +67,29 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return level.select("src", "source_size", F.when(F.col("final").isNull(), cap).otherwise(F.least(cap, F.col("final") * F.col("w"))).alias("target"))
 
 
+def hypergeometric(rng, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws are good; numpy's own sampler up to its limit, beyond it the rounded normal law."""
+    if good + bad < MOST_COUNT:
+        return int(rng.hypergeometric(good, bad, n)) if n else 0
+    every = good + bad
+    mean, spread = n * (good / every), (n * (good / every) * (bad / every) * ((every - n) / (every - 1))) ** 0.5
+    return min(n, good, max(0, n - bad, round(mean + spread * float(rng.standard_normal()))))
+
+
+def split(rng, counts, take: int):
+    """The left half's draws of each source: exact in total, never more than there are."""
+    import numpy as np
+
+    out, rest = np.zeros(len(counts), np.int64), int(counts.sum())
+    for i, c in enumerate(counts.tolist()):
+        rest -= c
+        out[i] = hypergeometric(rng, c, rest, take)
+        take -= int(out[i])
+        if not take:
+            break
+    return out
+
+
 def _shard_draws(quotas: list[tuple[int, int]], n_shards: int, seed: int):
     """For each shard: rows (source number, shard, first draw, draws)."""
     import numpy as np
@@ -82,7 +107,7 @@ def _shard_draws(quotas: list[tuple[int, int]], n_shards: int, seed: int):
                     mid = (lo + hi) // 2
                     take = mid * total // n_shards - lo * total // n_shards
                     rng = np.random.default_rng([seed, lo, hi])
-                    left = rng.multivariate_hypergeometric(counts, take, method="marginals")
+                    left = split(rng, counts, take)
                     if shard < mid:
                         hi, counts = mid, left
                     else:
@@ -93,8 +118,8 @@ def _shard_draws(quotas: list[tuple[int, int]], n_shards: int, seed: int):
     return run
 
 
-def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_times: float = 2.0, shard_words: int = SHARD_WORDS, seed: int = 17) -> DataFrame:
-    """``df`` with ``size``, ``source_size``, ``target``, ``draws`` and ``taken``.
+def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_times: float = 2.0, shard_words: int = SHARD_WORDS, seed: int = 17, keep_text: bool = True) -> DataFrame:
+    """``df``, without the text if that is not kept, with ``size``, ``source_size``, ``target``, ``draws`` and ``taken``.
 
     ``draws`` lists, for each time that the document is drawn, its output shard,
     its place there (``slot`` for the block, ``at`` for the document within it)
@@ -107,7 +132,10 @@ def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_co
     src = F.struct(F.col(source_col).isNull().alias("missing"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
     rows = rows.withColumn("size", n_words(F.col(text_col))).withColumn("src", src)
     rows = rows.withColumn("key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("size")))
-    slim = materialize(rows.select("src", "key", "size"), "mix-rows")
+    if keep_text:
+        slim = materialize(rows.select("src", "key", "size"), "mix-rows")
+    else:  # words are counted once, and texts are not read again
+        slim = rows = materialize(rows.drop(text_col), "mix-rows")
 
     # one row for each source: sizes, targets, number of blocks
     sizes = slim.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))

@@ -92,3 +92,16 @@ def test_edges(spark):
     assert mixing.emit(mixing.mix(df.limit(0))).count() == 0
     nothing = mixing.mix(df.where("doc_id < 4")).collect()
     assert len(nothing) == 3 and all(r["taken"] == 0 and r["target"] == 0 for r in nothing)
+
+
+def test_more_draws_than_the_sampler_takes():
+    """Counts stay exact and near their expectation on both sides of the sampler's limit."""
+    import numpy as np
+
+    for scale in (10**3, 10**10):
+        counts = np.array([5, 1, 0, 3], np.int64) * scale
+        left = mixing.split(np.random.default_rng(1), counts, 4 * scale)
+        assert left.sum() == 4 * scale and (left >= 0).all() and (left <= counts).all()
+        assert np.abs(left - counts * 4 / 9).max() <= 8 * scale**0.5
+    assert mixing.split(np.random.default_rng(1), counts, 0).sum() == 0
+    assert (mixing.split(np.random.default_rng(1), counts, int(counts.sum())) == counts).all()
