@@ -325,8 +325,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 #: The wide fingerprint of the similarity join: its words, the share of links at
 #: the least similarity that its tables may miss, the radius in deviations.
 WORDS, MISS, WIDE = 4, 0.001, 3.1
-#: Texts of a tile of the exact check; of very large groups the tiles grow.
-TILE, MOST_TILES = 128, 64
+#: Texts of a tile of the exact check, tiles beyond which they hold more texts, and bytes of shingles that none holds more of.
+TILE, FEW_TILES, TILE_BYTES = 128, 64, 16 << 20
 
 
 def bit_share(similarity: float) -> float:
@@ -392,9 +392,9 @@ def confirm(texts: DataFrame, words: list[str], radius: int, similarity: float,
 
     rows = add_columns(texts, [T.StructField("set", T.BinaryType())], sets_of, by="text", drop=("text",)).dropDuplicates(["node"])
     rows = materialize(rows, "shingle-sets")
-    size = rows.groupBy("root").agg(F.count("*").alias("n"))
-    tiles = F.least(F.lit(MOST_TILES), F.ceil(F.col("n") / TILE)).cast("int")
-    rows = rows.join(size, "root").where("n > 1").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    size = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("set") + 64).alias("bytes"))
+    tiles = F.least(F.greatest(F.lit(FEW_TILES), F.ceil(F.col("bytes") / TILE_BYTES)), F.ceil(F.col("n") / TILE)).cast("int")
+    rows = rows.join(size, "root").where("n > 1").withColumn("tiles", tiles).drop("bytes").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("root", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "set", *words)
     rows = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
