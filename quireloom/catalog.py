@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from quireloom.functions import geometry as g
 from quireloom.functions import text as t
 from quireloom.operators import clustering, figures, flags, headings, retrieval, routing, tables
 from quireloom.registry import query
-from quireloom.session import read_table
+from quireloom.session import materialize, read_table, shared_dir
+from quireloom.sources import corpus
 
 PAGE = ["page_key"]
 EVERY = 20  # queries are the vectors whose id this divides
@@ -85,8 +88,8 @@ INDEX = f"""ix AS (SELECT vec_id, label, {UNIT.format(e='embedding')} AS e, list
 
 
 def top_sql(name: str, field: str, where: str, k: int) -> str:
-    return f"""{name} AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (
-        SELECT q.vec_id AS query_id, c.vec_id, c.label, round(list_inner_product(q.e, c.{field}), 6) AS score FROM ix q, ix c WHERE q.{where}) s) t WHERE rank < {k})"""
+    return f"""{name} AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (
+        SELECT q.vec_id AS query_id, c.vec_id, c.label, list_inner_product(q.e, c.{field}) AS score FROM ix q, ix c WHERE q.{where}) s) t WHERE rank < {k})"""
 
 
 def vectors(spark, sf_dir):
@@ -102,7 +105,7 @@ def image_space(index: DataFrame) -> DataFrame:
 
 
 def ranked(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    return retrieval.retrieve(asked, index, k, chunk_id="vec_id").select("query_id", "rank", "vec_id", "score", "label")
+    return retrieval.retrieve(asked, index, k, chunk_id="vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"), "label")
 
 
 @query("normalize_vectors", f"WITH {INDEX} SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS i, round(unnest(e), 6) AS x FROM ix")
@@ -147,8 +150,12 @@ def two_lists(spark, sf_dir, payload, k: int = 100) -> DataFrame:
 def fuse_sql(payload: str, k: int = 100) -> str:
     return f"""{INDEX}, {top_sql('a', 'e', f'vec_id % {EVERY} = 0', k)}, {top_sql('b', 'r', f'vec_id % {EVERY} = 0', k)},
     l AS (SELECT query_id, 0 AS list_no, rank, {payload} AS text FROM a UNION ALL SELECT query_id, 1, rank, {payload} FROM b),
-    f AS (SELECT query_id, text, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score, min(list_no * 1000000 + rank) AS seen FROM l GROUP BY query_id, text),
-    fused AS (SELECT query_id, text, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) - 1 AS INTEGER) AS rank FROM f)"""
+    f AS (SELECT query_id, text, sum(1.0::DOUBLE / (60 + rank + 1)) AS raw, min(list_no * 1000000 + rank) AS seen FROM l GROUP BY query_id, text),
+    fused AS (SELECT query_id, text, round(raw, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, seen) - 1 AS INTEGER) AS rank FROM f)"""
+
+
+def fused(spark, sf_dir, payload: str) -> DataFrame:
+    return retrieval.fuse(two_lists(spark, sf_dir, F.expr(payload)), ["query_id"]).withColumn("score", F.round("score", 9))
 
 
 CHUNK, LABEL = "concat('chunk ', vec_id)", "concat('label ', label)"
@@ -156,21 +163,21 @@ CHUNK, LABEL = "concat('chunk ', vec_id)", "concat('label ', label)"
 
 @query("rrf_fusion", f"WITH {fuse_sql(CHUNK)} SELECT * FROM fused")
 def rrf_fusion(spark, sf_dir):
-    return retrieval.fuse(two_lists(spark, sf_dir, F.expr(CHUNK)), ["query_id"])
+    return fused(spark, sf_dir, CHUNK)
 
 
 @query("rrf_duplicate_text", f"WITH {fuse_sql(LABEL)} SELECT * FROM fused")
 def rrf_duplicate_text(spark, sf_dir):
-    return retrieval.fuse(two_lists(spark, sf_dir, F.expr(LABEL)), ["query_id"])
+    return fused(spark, sf_dir, LABEL)
 
 
 @query("hybrid_fused_topk", f"WITH {fuse_sql(CHUNK)} SELECT * FROM fused WHERE rank < 3")
 def hybrid_fused_topk(spark, sf_dir):
-    return retrieval.fuse(two_lists(spark, sf_dir, F.expr(CHUNK)), ["query_id"]).where("rank < 3")
+    return fused(spark, sf_dir, CHUNK).where("rank < 3")
 
 
 @query("build_prompt", f"""WITH {INDEX}, {top_sql('r', 'e', f'vec_id % {EVERY} = 0', 3)}
-SELECT query_id, '{retrieval.INSTRUCTION}' || chr(10) || chr(10) || 'Passages:' || chr(10) || string_agg({CHUNK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: which is nearest to ' || query_id || '?' || chr(10) || chr(10) || 'Answer:' AS prompt FROM r GROUP BY query_id""")
+SELECT query_id, 'Answer from these passages only, and say so if they are not enough.' || chr(10) || chr(10) || 'Passages:' || chr(10) || string_agg({CHUNK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: which is nearest to ' || query_id || '?' || chr(10) || chr(10) || 'Answer:' AS prompt FROM r GROUP BY query_id""")
 def build_prompt(spark, sf_dir):
     index = vectors(spark, sf_dir)
     asked = questions(index)
@@ -406,17 +413,18 @@ def figure_regions(spark, sf_dir):
 
 # ---------------------------------------------------------------- composition
 
-EXCLUDED = f"kept AS (SELECT * FROM fx_blocks a WHERE NOT EXISTS (SELECT 1 FROM regions b WHERE a.page_key = b.page_key AND CASE WHEN {AREA.format(a='a.')} > 0 THEN {CUT.format(a='a.', b='b.')} / ({AREA.format(a='a.')}) ELSE 0 END > 0.5))"
+def excluded_sql(by: str) -> str:
+    return f"kept AS (SELECT * FROM fx_blocks a WHERE NOT EXISTS (SELECT 1 FROM {by} b WHERE a.page_key = b.page_key AND CASE WHEN {AREA.format(a='a.')} > 0 THEN {CUT.format(a='a.', b='b.')} / ({AREA.format(a='a.')}) ELSE 0 END > 0.5))"
 
 
-@query("exclude_regions", f"WITH RECURSIVE {REGIONS}, {EXCLUDED} SELECT * FROM kept")
+@query("exclude_regions", f"WITH RECURSIVE {REGIONS}, {excluded_sql('regions')} SELECT * FROM kept")
 def exclude_regions(spark, sf_dir):
     return routing.exclude_regions(blocks(spark, sf_dir), regions_of(spark, sf_dir), PAGE)
 
 
 # a document is ten pages; pages whose key 7 divides have no text layer, and their recognised text is that of their blocks
 NATIVE = "page_key % 7 <> 0"
-PARAGRAPHS = f"""{REGIONS}, {EXCLUDED},
+PARAGRAPHS = f"""{REGIONS}, {STATS}, mask AS (SELECT page_key, x0, y0, x1, y1 FROM regions UNION ALL SELECT b.page_key, x0, y0, x1, y1 FROM fx_boxes b JOIN judged j ON b.table_key = j.table_key AND is_real), {excluded_sql('mask')},
 flat AS (SELECT page_key, {STRIP.format("string_agg(CASE WHEN " + NATIVE + " THEN text ELSE '' END, chr(10) ORDER BY block_no)")} AS text, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS seen FROM fx_blocks GROUP BY page_key),
 parts AS (SELECT k.page_key, CAST(block_no AS INTEGER) AS no, {STRIP.format('k.text')} AS text FROM kept k JOIN flat f ON k.page_key = f.page_key WHERE length(f.text) > 20 AND {STRIP.format('k.text')} <> ''
   UNION ALL SELECT page_key, CAST(row_number() OVER (PARTITION BY page_key ORDER BY i) - 1 AS INTEGER), {STRIP.format('x')} FROM (SELECT page_key, unnest(string_split(seen, chr(10) || chr(10))) AS x, generate_subscripts(string_split(seen, chr(10) || chr(10)), 1) AS i FROM flat WHERE length(text) <= 20) o WHERE {STRIP.format('x')} <> ''),
@@ -430,8 +438,9 @@ def paragraphs(spark, sf_dir):
     whole = b.groupBy("doc_key", "page_key").agg(order.alias("p"))
     flat = whole.select("doc_key", "page_key", F.when(F.col("page_key") % 7 != 0, F.array_join(F.transform("p", lambda x: x["text"]), "\n")).otherwise("").alias("text"))
     seen = whole.select("doc_key", "page_key", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
-    found = regions_of(spark, sf_dir).withColumn("doc_key", F.floor(F.col("page_key") / 10).cast("long"))
-    return routing.extract_paragraphs(flat, b, seen, found, ["doc_key"], "page_key")
+    real = tables.find_real_tables(cells(spark, sf_dir), boxes(spark, sf_dir), ["table_key"])
+    mask = routing.mask_of(regions_of(spark, sf_dir), real, PAGE).withColumn("doc_key", F.floor(F.col("page_key") / 10).cast("long"))
+    return routing.extract_paragraphs(flat, b, seen, mask, ["doc_key"], "page_key")
 
 
 @query("extract_paragraphs", f"WITH RECURSIVE {PARAGRAPHS} SELECT doc_key, pos, text FROM walk")
@@ -439,7 +448,7 @@ def extract_paragraphs(spark, sf_dir):
     return paragraphs(spark, sf_dir)
 
 
-@query("build_chunks", f"""WITH RECURSIVE {PARAGRAPHS}, {STATS}, {MARKDOWN}
+@query("build_chunks", f"""WITH RECURSIVE {PARAGRAPHS}, {MARKDOWN}
 SELECT doc_key, 'text' AS kind, CAST(row_number() OVER (PARTITION BY doc_key ORDER BY pos) - 1 AS INTEGER) AS ord, text FROM walk WHERE length(text) <= 800
 UNION ALL SELECT CAST(floor(page_key / 10) AS BIGINT), 'table', CAST(row_number() OVER (PARTITION BY CAST(floor(page_key / 10) AS BIGINT) ORDER BY page_key, b.table_key) - 1 AS INTEGER), markdown FROM fx_boxes b JOIN judged j ON b.table_key = j.table_key AND is_real JOIN md ON md.table_key = b.table_key
 UNION ALL SELECT CAST(floor(page_key / 10) AS BIGINT), 'figure', CAST(row_number() OVER (PARTITION BY CAST(floor(page_key / 10) AS BIGINT) ORDER BY page_key, kind, region_no) - 1 AS INTEGER), '[' || kind || ', page ' || (page_key % 10 + 1) || '] **Figure:** region ' || region_no FROM regions""")
@@ -532,3 +541,196 @@ def cache_hits_misses(spark, sf_dir):
     keyed = pictures(spark, sf_dir).select("doc_id", t.content_key(F.col("image"), INSTRUCTION).alias("key"))
     cache = keyed.where("doc_id % 3 = 0").select("key").distinct().withColumn("description", F.concat(F.lit("known "), F.substring("key", 1, 8)))
     return describe.look_up(keyed, cache).select("doc_id", "key", "description", "hit")
+
+
+# ---------------------------------------------------------------- sources, readers and models
+
+DOCS = "docpages AS (SELECT page_key, 'doc ' || CAST(floor(page_key / 10) AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY CAST(floor(page_key / 10) AS BIGINT) ORDER BY page_key) - 1 AS INTEGER) AS page_no FROM fx_pages)"
+
+
+def layouts(spark, sf_dir) -> DataFrame:
+    """(path, content): a document of ten fixture pages each, as ``LayoutReader`` reads them."""
+    box = ["x0", "y0", "x1", "y1"]
+
+    def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.groupBy("page_key").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+    texts = blocks(spark, sf_dir).groupBy("page_key").agg(F.sort_array(F.collect_list(F.struct("block_no", "text"))).alias("p"))
+    joined = lambda sign: F.array_join(F.transform("p", lambda x: x["text"]), sign)
+    texts = texts.select("page_key", F.when(F.col("page_key") % 7 != 0, joined("\n")).otherwise("").alias("text"), joined("\n\n").alias("recognised"))
+    grids = boxes(spark, sf_dir).join(tables.table_rows(cells(spark, sf_dir), ["table_key"]), "table_key")
+    page = pages(spark, sf_dir).join(texts, "page_key", "left")
+    for more in (
+        listed(blocks(spark, sf_dir), "blocks", "block_no", *box, "text"),
+        listed(images(spark, sf_dir), "images", "img_no", *box),
+        listed(drawings(spark, sf_dir), "drawings", "draw_no", *box, "n_items", "fill", "type"),
+        listed(grids, "tables", "table_key", *box, "rows"),
+    ):
+        page = page.join(more, "page_key", "left")
+    page = page.select("page_key", F.to_json(F.struct("text", "recognised", "blocks", "images", "drawings", "tables")).alias("json"))
+    doc = page.groupBy(F.floor(F.col("page_key") / 10).cast("long").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("page_key", "json"))).alias("p"))
+    content = F.concat(F.lit("["), F.array_join(F.transform("p", lambda x: x["json"]), ","), F.lit("]"))
+    return doc.select(F.concat(F.lit("doc "), F.col("doc").cast("string")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+def parts(spark, sf_dir) -> DataFrame:
+    return corpus.scan_parts(layouts(spark, sf_dir), corpus.LayoutReader())
+
+
+@query("scan_pages", f"WITH {cte('fx_pages', 'fx_blocks')}, {DOCS} SELECT doc_id, page_no, CASE WHEN p.page_key % 7 <> 0 THEN string_agg(text, chr(10) ORDER BY block_no) ELSE '' END AS text FROM docpages p JOIN fx_blocks b ON p.page_key = b.page_key GROUP BY doc_id, page_no, p.page_key")
+def scan_pages(spark, sf_dir):
+    return corpus.pages_of(parts(spark, sf_dir)).select("doc_id", "page_no", "text")
+
+
+def numbered(src: str, no: str, more: str) -> str:
+    return f"SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY {no}) - 1 AS INTEGER) AS no, {more} FROM docpages p JOIN {src} s ON p.page_key = s.page_key"
+
+
+@query("scan_blocks", f"WITH {cte('fx_pages', 'fx_blocks')}, {DOCS} {numbered('fx_blocks', 'block_no', 'x0, y0, x1, y1, text')}")
+def scan_blocks(spark, sf_dir):
+    return corpus.blocks_of(parts(spark, sf_dir)).withColumnRenamed("block_no", "no")
+
+
+@query("scan_images", f"WITH {cte('fx_pages', 'fx_images')}, {DOCS} {numbered('fx_images', 'img_no, x0, y0, x1, y1', 'x0, y0, x1, y1')}")
+def scan_images(spark, sf_dir):
+    return corpus.images_of(parts(spark, sf_dir)).withColumnRenamed("img_no", "no")
+
+
+@query("scan_drawings", f"WITH {cte('fx_pages', 'fx_drawings')}, {DOCS} {numbered('fx_drawings', 'draw_no', 'x0, y0, x1, y1, n_items, type, round(list_sum(fill), 6) AS fill_sum')}")
+def scan_drawings(spark, sf_dir):
+    total = F.aggregate("fill", F.lit(0.0), lambda s, x: s + x)
+    return corpus.drawings_of(parts(spark, sf_dir)).withColumn("fill_sum", F.round(total, 6)).drop("fill").withColumnRenamed("draw_no", "no")
+
+
+@query("scan_tables", f"""WITH {cte('fx_pages', 'fx_cells', 'fx_boxes')}, {DOCS}, tr AS (SELECT table_key, row_key, string_agg(coalesce(cell, '~'), '|' ORDER BY col_no) AS line FROM fx_cells GROUP BY table_key, row_key),
+tt AS (SELECT table_key, string_agg(line, '/' ORDER BY row_key) AS rows FROM tr GROUP BY table_key), s0 AS (SELECT b.*, rows FROM fx_boxes b JOIN tt ON b.table_key = tt.table_key) {numbered('s0', 's.table_key', 'x0, y0, x1, y1, rows')}""")
+def scan_tables(spark, sf_dir):
+    lines = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|", "~")), "/")
+    return corpus.tables_of(parts(spark, sf_dir)).withColumn("rows", lines).withColumnRenamed("table_no", "no")
+
+
+@query("recognise_pages", f"WITH {cte('fx_pages', 'fx_blocks')}, {DOCS}, f AS (SELECT page_key, CASE WHEN page_key % 7 <> 0 THEN string_agg(text, chr(10) ORDER BY block_no) ELSE '' END AS flat, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS text FROM fx_blocks GROUP BY page_key) SELECT doc_id, page_no, text FROM docpages p JOIN f ON p.page_key = f.page_key WHERE length({STRIP.format('flat')}) <= 20")
+def recognise_pages(spark, sf_dir):
+    return corpus.recognise_pages(layouts(spark, sf_dir), corpus.pages_of(parts(spark, sf_dir)), corpus.LayoutReader())
+
+
+PICTURE = "'page ' || page_no || ' at ' || printf('%.2f %.2f %.2f %.2f', x0, y0, x1, y1) || ', 150 dpi'"
+
+
+@query("render_regions", f"WITH RECURSIVE {REGIONS}, {cte('fx_pages')}, {DOCS} SELECT doc_id, page_no, kind, region_no, sha256({PICTURE}) AS image FROM docpages p JOIN regions r ON p.page_key = r.page_key")
+def render_regions(spark, sf_dir):
+    p = materialize(parts(spark, sf_dir), "parts")
+    found = figures.figure_regions(corpus.images_of(p), corpus.drawings_of(p), corpus.blocks_of(p), ["doc_id", "page_no"])
+    drawn = corpus.render_regions(layouts(spark, sf_dir), found, corpus.LayoutReader())
+    return drawn.select("doc_id", "page_no", "kind", "region_no", F.sha2("image", 256).alias("image"))
+
+
+DOCUMENT_CHUNKS = f"""{PARAGRAPHS}, {MARKDOWN}, {cte('fx_pages')}, {DOCS},
+document_chunks AS (SELECT 'doc ' || doc_key AS doc_id, 'text' AS kind, CAST(row_number() OVER (PARTITION BY doc_key ORDER BY pos) - 1 AS INTEGER) AS ord, text FROM walk
+UNION ALL SELECT doc_id, 'table', CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, b.table_key) - 1 AS INTEGER), markdown FROM docpages p JOIN fx_boxes b ON p.page_key = b.page_key JOIN judged j ON b.table_key = j.table_key AND is_real JOIN md ON md.table_key = b.table_key
+UNION ALL SELECT doc_id, 'figure', CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, kind, region_no) - 1 AS INTEGER), '[' || kind || ', page ' || (page_no + 1) || '] **Figure:** picture of ' || length({PICTURE}) || ' bytes' FROM docpages p JOIN regions r ON p.page_key = r.page_key)"""
+
+
+def document_plan(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    from quireloom.plans import ask
+
+    found = materialize(layouts(spark, sf_dir), "layouts")
+    return found, ask.build_chunks(found, corpus.LayoutReader())
+
+
+@query("document_chunks", f"WITH RECURSIVE {DOCUMENT_CHUNKS} SELECT * FROM document_chunks")
+def document_chunks(spark, sf_dir):
+    return document_plan(spark, sf_dir)[1]
+
+
+@query("corpus_counts", f"WITH RECURSIVE {DOCUMENT_CHUNKS} SELECT (SELECT count(DISTINCT doc_id) FROM docpages) AS documents, count(DISTINCT doc_id) AS with_chunks, count(*) AS chunks FROM document_chunks")
+def corpus_counts(spark, sf_dir):
+    from quireloom.plans import ask
+
+    return ask.count_chunks(*document_plan(spark, sf_dir))
+
+
+TABLE_FILES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+
+
+@query("list_corpus", f"SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS no, name FROM (VALUES {', '.join(f'({chr(39)}{n}.parquet{chr(39)})' for n in TABLE_FILES)}) t(name)")
+def list_corpus(spark, sf_dir):
+    found = corpus.sorted_paths(corpus.list_corpus(spark, sf_dir, "*.parquet"))
+    return found.select((F.row_number().over(Window.orderBy("path")) - 1).alias("no"), F.substring_index("path", "/", -1).alias("name"))  # one row for each file
+
+
+@query("upload_corpus", "SELECT 'two.txt' AS path, sha256('b') AS content UNION ALL SELECT 'one.pdf', sha256('a')")
+def upload_corpus(spark, sf_dir):
+    return corpus.from_uploads(spark, {"one.pdf": b"a", "two.txt": b"b"}).select("path", F.sha2("content", 256).alias("content"))
+
+
+@query("description_memory", f"SELECT DISTINCT sha256(text || '{INSTRUCTION}') AS key, 'seen ' || strlen(text) || ' bytes' AS description FROM (SELECT coalesce(text, '') AS text FROM documents) d")
+def description_memory(spark, sf_dir):
+    """What a second run finds in the memory, whose calls would fail."""
+    from quireloom.plans import describe
+
+    memory = describe.Memory(spark, f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}")
+    memory.describe(pictures(spark, sf_dir), lambda image: f"seen {len(image)} bytes", INSTRUCTION)
+    again = memory.describe(pictures(spark, sf_dir), lambda image: f"{1 // 0}", INSTRUCTION)
+    return again.where("hit").select("key", "description").distinct()
+
+
+def stub_service():
+    """A client of three models that fail by the number in the prompt."""
+    from quireloom.plans import models
+
+    def call(model: str, prompt: str, **settings) -> str | None:
+        n = int(prompt)
+        if model == "a" and n % 3 == 0:
+            raise models.ServiceError(404)
+        if model == "a" and n % 3 == 1:
+            return None
+        if model == "b" and n % 5 == 0:
+            raise models.ServiceError(429)
+        return f"{model} {n} {settings['temperature']}"
+
+    return call
+
+
+@query("generate_fallback", "SELECT vec_id, CASE WHEN vec_id % 3 = 2 THEN 'a' WHEN vec_id % 5 <> 0 THEN 'b' ELSE 'c' END || ' ' || vec_id || ' 0.1' AS answer FROM embeddings")
+def generate_fallback(spark, sf_dir):
+    from quireloom.plans import models
+
+    asked = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("prompt"))
+    client = models.LazyClient(stub_service)
+    return models.answer_all(asked, client, ("a", "b", "c"), policy=models.Policy(wait=0.0), settings={"temperature": 0.1}).select("vec_id", "answer")
+
+
+def letter_counts(values: list):
+    """An encoder for tests: how often five letters occur in a text or in bytes."""
+    import numpy as np
+
+    return np.array([[v.count(c if isinstance(v, str) else c.encode()) for c in "aeiou"] for v in values], np.float32).reshape(-1, 5)
+
+
+def letters_sql(alias: str) -> str:
+    counts = ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "aeiou")
+    return f"n AS (SELECT doc_id, CAST([{counts}] AS DOUBLE[]) AS c FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d), u AS (SELECT doc_id, list_transform(c, lambda x: CASE WHEN list_inner_product(c, c) > 0 THEN x / sqrt(list_inner_product(c, c)) ELSE 0 END) AS e FROM n) SELECT doc_id, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS i, round(unnest(e), 6) AS {alias} FROM u"
+
+
+@query("embed_texts", f"WITH {letters_sql('x')}")
+def embed_texts(spark, sf_dir):
+    from quireloom.plans import models
+
+    index = retrieval.build_index(models.embed(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", letter_counts))
+    return index.select("doc_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("embed_images", f"WITH {letters_sql('x')}")
+def embed_images(spark, sf_dir):
+    """The index of a second vector space: pictures, as bytes, with an encoder of their own."""
+    from quireloom.plans import models
+
+    index = retrieval.build_index(models.embed(pictures(spark, sf_dir), "image", letter_counts))
+    return index.select("doc_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("show_scores", f"WITH {INDEX}, {top_sql('r', 'e', f'vec_id % {EVERY} = 0', 3)} SELECT query_id, rank, '[' || printf('%.3f', score) || '] ' || {CHUNK} AS line FROM r")
+def show_scores(spark, sf_dir):
+    index = vectors(spark, sf_dir)
+    return ranked(index, questions(index), 3).select("query_id", "rank", retrieval.shown(F.col("score"), F.expr(CHUNK)).alias("line"))

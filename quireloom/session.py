@@ -31,14 +31,16 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    ``spark.checkpoint.dir`` names it.  Only where that is unset, as in tests
-    on one machine, is a local folder made.
+    ``spark.checkpoint.dir`` names it.  Only where that is unset and all runs
+    on one machine, as in tests, is a local folder made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quireloom-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -17,7 +17,7 @@ def stream_documents(spark: SparkSession, folder: str, schema: str = "doc_id lon
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def index_stream(documents: DataFrame, target: str, checkpoint: str, size: int = 800, overlap: int = 100, encode=models.hashed_embedding) -> StreamingQuery:
+def index_stream(documents: DataFrame, target: str, checkpoint: str, size: int = 800, overlap: int = 100, encode=models.hashed_embeddings) -> StreamingQuery:
     """Write (doc_id, ord, text, embedding) of each new document below ``target``, one folder for each batch.
 
     A batch that is run again after a failure overwrites its own folder, so no
