@@ -47,8 +47,8 @@ from quireloom.llm.vectors import is_whole, matrix, same_width
 from quireloom.session import materialize, ship_package
 
 #: Neighbours of a node at first and of a saturated one at last, blocks of the first graph, hyperplane tables, rounds.
-LIST, LONG, BLOCK, TABLES, ROUNDS = 8, 128, 128, 4, 4
-#: A round that changes fewer than this share of all list entries is the last.
+LIST, LONG, BLOCK, TABLES, ROUNDS = 8, 64, 128, 4, 4
+#: A round that adds fewer than this share of all edges near the threshold is the last.
 STILL = 0.01
 #: How far below the threshold an edge by codes may lie and still be checked.
 SLACK = 0.03
@@ -128,17 +128,18 @@ def nearest(edges: DataFrame, size: int, only: DataFrame | None = None) -> DataF
     return ranked.drop("rank")
 
 
-def one_round(graph: DataFrame, codes: DataFrame, size: int, only: DataFrame | None = None, least: float = -1.0) -> DataFrame:
+def one_round(graph: DataFrame, codes: DataFrame, size: int, grows: DataFrame | None = None, asks: DataFrame | None = None, least: float = -1.0) -> DataFrame:
     """Join nodes with their neighbours' neighbours: the old edges and new ones that beat the lists.
 
-    With ``only`` (a), the lists of those nodes grow, by edges of ``least`` and more.
+    Lists of the nodes of ``grows`` (a) have up to ``LONG`` entries, and those of
+    ``asks`` look for more, of ``least`` and above; without them all lists do.
     """
     lists = graph.join(codes.select(F.col("node").alias("b"), F.col("code").alias("b_code")), "b")
     lists = lists.groupBy(F.col("a").alias("via")).agg(F.collect_list(F.struct("b", "b_code")).alias("list"))  # at most LONG
     last = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
-    if only is not None:
-        last = last.join(only, "a")
-    beat = F.when(F.col("n") < (size if only is None else LONG), F.lit(least)).otherwise(F.greatest("last", F.lit(least))).cast("float")
+    if asks is not None:
+        last = last.join(asks, "a")
+    beat = F.when(F.col("n") < (size if asks is None else LONG), F.lit(least)).otherwise(F.greatest("last", F.lit(least))).cast("float")
     ask = graph.select("a", F.col("b").alias("via")).join(last.select("a", beat.alias("least")), "a")
     ask = ask.join(codes.select(F.col("node").alias("a"), "code"), "a")
 
@@ -158,7 +159,7 @@ def one_round(graph: DataFrame, codes: DataFrame, size: int, only: DataFrame | N
 
     new = ask.join(lists, "via").select("a", "code", "least", "list").mapInArrow(compare, EDGES)
     back = graph.where(F.col("sim") >= least).select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-    return nearest(graph.select("a", "b", "sim", F.lit(True).alias("old")).unionByName(back.unionByName(new).withColumn("old", F.lit(False))), size, only)
+    return nearest(graph.select("a", "b", "sim", F.lit(True).alias("old")).unionByName(back.unionByName(new).withColumn("old", F.lit(False))), size, grows)
 
 
 def saturated(graph: DataFrame, size: int, least: float) -> DataFrame:
@@ -166,6 +167,12 @@ def saturated(graph: DataFrame, size: int, least: float) -> DataFrame:
     return graph.where(F.col("sim") >= least).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= size).select("a")
 
 
+def is_still(graph: DataFrame, least: float) -> bool:
+    """Whether a round brought next to nothing near the threshold; edges far below it never come to rest."""
+    new, every = graph.where(F.col("sim") >= least).agg(F.count(F.when(~F.col("old"), 1)), F.count("*")).first()
+    return new <= STILL * every
+
+
 def descend(nodes: DataFrame, n_nodes: int, seed: int, size: int, least: float) -> DataFrame:
     """The refined neighbour graph (a, b, sim by codes); saturated lists have up to ``LONG`` entries."""
     codes = nodes.select("node", "code")
@@ -173,14 +180,18 @@ def descend(nodes: DataFrame, n_nodes: int, seed: int, size: int, least: float)
     graph = materialize(nearest(first, size), "graph")
     for _ in range(ROUNDS):
         graph = materialize(one_round(graph, codes, size), "graph")
-        if graph.where("not old").count() <= STILL * n_nodes * size:
+        if is_still(graph, least):
             break
     full = materialize(saturated(graph, size, least), "saturated")
-    n_full = full.count()
-    for _ in range(ROUNDS if n_full else 0):
-        graph = materialize(one_round(graph, codes, size, full, least), "graph")
-        if graph.where("not old").count() <= STILL * n_full * size:
+    asks = full
+    for _ in range(ROUNDS):
+        if asks.isEmpty():
+            break
+        graph = materialize(one_round(graph, codes, size, full, asks, least), "graph")
+        if is_still(graph, least):
             break
+        # full at LONG too: blocks will compare these, so their lists need not be the best
+        asks = materialize(full.join(saturated(graph, LONG, least), "a", "left_anti"), "saturated")
     return graph.drop("old")
 
 
