@@ -67,7 +67,7 @@ def test_whole_pipeline(spark, data):
     stage2 = corpus_pipeline.drop_near_copies(spark, stage1, data)
     assert sorted(r["doc_id"] for r in rows_of(stage2)) == sorted(r["doc_id"] for r in kept)
 
-    learned = secrets.automata()
+    learned = secrets.learn(stage2)
     clean = {r["doc_id"]: r["text"] if r["text"] is None else secrets.redact_text(r["text"], secrets.all_spans(r["text"], learned), "[secret]") for r in kept}
     stage3 = corpus_pipeline.redact_secrets(spark, stage2, data)
     assert {r["doc_id"]: r["text"] for r in rows_of(stage3)} == clean
