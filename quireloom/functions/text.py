@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: White space as Python strings know it: Unicode spaces and the separators 0x1c-0x1f.
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS, NOT_WS = f"[{SPACES}]", f"[^{SPACES}]"
-TEXT_LAYER_CHARS, HEADING_CHARS = 20, 60
+TEXT_LAYER_CHARS, HEADING_CHARS, LONG_WORD = 20, 60, 256
 #: The default tokenizer: words, and single signs.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -52,8 +52,10 @@ def chunk_spans(text: Column, size: int, overlap: int) -> Column:
 
     def end_of(start: Column) -> Column:
         end = start + F.lit(size)
-        rest = F.length(F.regexp_extract(F.substring(text, end + F.lit(1), n), rf"\A{NOT_WS}*", 0))
-        return F.when(end < n, end + rest).otherwise(end)
+        # a word's rest is looked for in a short stretch first: the whole rest of the text is copied only for longer words
+        near = F.length(F.regexp_extract(F.substring(text, end + F.lit(1), LONG_WORD), rf"\A{NOT_WS}*", 0))
+        far = F.length(F.regexp_extract(F.substring(text, end + F.lit(1), n), rf"\A{NOT_WS}*", 0))
+        return F.when(end < n, end + F.when(near < LONG_WORD, near).otherwise(far)).otherwise(end)
 
     def step(state: Column, _: Column) -> Column:
         start = state["at"]
