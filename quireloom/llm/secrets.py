@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quireloom.llm.common import add_columns, slices, texts_of
-from quireloom.session import ship_package
+from quireloom.session import materialize, ship_package
 
 KINDS = ("assign", "access", "hex", "format")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -276,6 +276,7 @@ def learn(df: DataFrame, text_col: str = "text") -> Learned:
                 yield pa.RecordBatch.from_arrays([pa.array([y for *_, y in rows], pa.bool_()), pa.array([t for _, t, _ in rows], pa.string()), pa.array([h for h, *_ in rows], pa.int64())], names=["secret", "text", "place"])
 
     found = df.select(text_col).mapInArrow(run, LABELLED).groupBy("secret", "text", "place").count()
+    found = materialize(found, "labelled")  # two selections from one pass over the texts
     both = found.where("secret").orderBy("place", "text").limit(MOST_LABELLED).unionByName(found.where("not secret").orderBy("place", "text").limit(MOST_LABELLED))
     rows = both.select("secret", "text").collect()  # at most twice MOST_LABELLED rows
     some = sorted(r["text"] for r in rows if r["secret"])
