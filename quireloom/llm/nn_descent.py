@@ -128,20 +128,22 @@ def nearest(edges: DataFrame, size: int, only: DataFrame | None = None) -> DataF
     return ranked.drop("rank")
 
 
-def one_round(graph: DataFrame, codes: DataFrame, size: int, grows: DataFrame | None = None, asks: DataFrame | None = None, least: float = -1.0) -> DataFrame:
+def one_round(graph: DataFrame, codes: DataFrame, size: int, grows: DataFrame | None = None, least: float = -1.0) -> DataFrame:
     """Join nodes with their neighbours' neighbours: the old edges and new ones that beat the lists.
 
     Lists of the nodes of ``grows`` (a) have up to ``LONG`` entries, and those of
-    ``asks`` look for more, of ``least`` and above; without them all lists do.
+    them that are not full of edges of ``least`` and above look for more such
+    edges; without ``grows`` all lists look for more.
     """
-    lists = graph.join(codes.select(F.col("node").alias("b"), F.col("code").alias("b_code")), "b")
-    lists = lists.groupBy(F.col("a").alias("via")).agg(F.collect_list(F.struct("b", "b_code")).alias("list"))  # at most LONG
-    last = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
-    if asks is not None:
-        last = last.join(asks, "a")
-    beat = F.when(F.col("n") < (size if asks is None else LONG), F.lit(least)).otherwise(F.greatest("last", F.lit(least))).cast("float")
-    ask = graph.select("a", F.col("b").alias("via")).join(last.select("a", beat.alias("least")), "a")
-    ask = ask.join(codes.select(F.col("node").alias("a"), "code"), "a")
+    ends = graph.join(codes.select(F.col("node").alias("b"), F.col("code").alias("b_code")), "b")
+    # both uses below read this one aggregate, so Spark shuffles it once
+    own = ends.groupBy("a").agg(F.collect_list(F.struct("b", "b_code", "sim")).alias("list"))  # at most LONG
+    lists = own.withColumnRenamed("a", "via")
+    asks, most = (own, size) if grows is None else (own.join(grows, "a").where(F.size(F.filter("list", lambda e: e["sim"] >= least)) < LONG), LONG)
+    last = F.array_min(F.transform("list", lambda e: e["sim"]))
+    beat = F.when(F.size("list") < most, F.lit(least)).otherwise(F.greatest(last, F.lit(least))).cast("float")
+    asks = asks.join(codes.select(F.col("node").alias("a"), "code"), "a").select("a", "code", beat.alias("least"), F.transform("list", lambda e: e["b"]).alias("ends"))
+    ask = asks.select("a", "code", "least", F.explode("ends").alias("via"))
 
     def compare(batches):
         for t in batches:
@@ -183,33 +185,31 @@ def descend(nodes: DataFrame, n_nodes: int, seed: int, size: int, least: float)
         if is_still(graph, least):
             break
     full = materialize(saturated(graph, size, least), "saturated")
-    asks = full
-    for _ in range(ROUNDS):
-        if asks.isEmpty():
-            break
-        graph = materialize(one_round(graph, codes, size, full, asks, least), "graph")
-        if is_still(graph, least):
-            break
-        # full at LONG too: blocks will compare these, so their lists need not be the best
-        asks = materialize(full.join(saturated(graph, LONG, least), "a", "left_anti"), "saturated")
+    if not full.isEmpty():
+        for _ in range(ROUNDS):
+            # those full at LONG too ask no more: blocks will compare these, so their lists need not be the best
+            graph = materialize(one_round(graph, codes, size, full, least), "graph")
+            if is_still(graph, least):
+                break
     return graph.drop("old")
 
 
+LINKS = "a long, links long, b long"
+
+
 def checked(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose vectors do reach the threshold."""
-    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("vec").alias("u")), "a")
-    both = left.join(nodes.select(F.col("node").alias("b"), F.col("vec").alias("v")), "b").select("a", "b", "u", "v")
+    """Both ends of the pairs (a, b) whose vectors do reach the threshold: rows (a, links, b), ``links`` the weight of ``b``."""
+    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("vec").alias("u"), F.col("weight").alias("a_weight")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("vec").alias("v"), F.col("weight").alias("b_weight")), "b")
 
     def run(batches):
         for t in batches:
             u, v = same_width(unit(matrix(t.column("u"))), unit(matrix(t.column("v"))))
             ok = np.einsum("ij,ij->i", u, v) >= threshold
-            yield batch(["a", "b"], t.column("a").to_numpy()[ok], t.column("b").to_numpy()[ok])
-
-    return both.mapInArrow(run, "a long, b long")
+            a, b, a_weight, b_weight = (t.column(c).to_numpy()[ok] for c in ("a", "b", "a_weight", "b_weight"))
+            yield batch(["a", "links", "b"], np.concatenate([a, b]), np.concatenate([b_weight, a_weight]), np.concatenate([b, a]))
 
-
-LINKS = "a long, links long, b long"
+    return both.select("a", "b", "a_weight", "b_weight", "u", "v").mapInArrow(run, LINKS)
 
 
 def within_dense(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
@@ -286,10 +286,7 @@ def links_of(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
         pairs = marked.where("not inside").select("a", "b")
         roots = components(marked.where("inside").select("a", "b"))
         groups = dense.select(F.col("a").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    found = checked(nodes, pairs, threshold)
-    weight = nodes.select(F.col("node").alias("b"), "weight")
-    ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    from_lists = ends.join(weight, "b").select("a", F.col("weight").alias("links"), "b")
+    from_lists = checked(nodes, pairs, threshold)
     if dense.isEmpty():
         return from_lists
     return from_lists.unionByName(within_dense(nodes, groups, threshold))
