@@ -6,16 +6,15 @@ from random hyperplane blocks and is refined in rounds: along each edge (u, v),
 neighbour so far; reversed edges compete too.  These joins carry one-byte codes,
 which is enough to rank neighbours.
 
-A list whose last entry is near the threshold still is saturated.  Lists of
-saturated nodes are enlarged to ``LONG`` entries near the threshold and refined
-again, round after round.  Threshold edges of all lists are then checked in double
-precision and stay as links.  Nodes that are saturated at ``LONG`` lie in dense
-regions, where the links themselves number the square of the nodes.  Two such
-nodes are compared in blocks instead: connected dense nodes fall into cells
-around pivots and tiles of at most about ``TILE`` nodes, and two tiles meet
-unless the angles between their pivots and the radii of their cells rule a link
-out.  Nothing is cut at ``LONG``: every list entry counts, and what the lists of
-dense nodes lack, blocks find.
+A list whose last entry is near the threshold still is saturated.  It is enlarged
+to ``LONG`` entries near the threshold within the same rounds.  Threshold edges
+of all lists are then checked in double precision and stay as links.  Nodes that
+are saturated at ``LONG`` lie in dense regions, where the links themselves number
+the square of the nodes.  Two such nodes are compared in blocks instead:
+connected dense nodes fall into cells around pivots and tiles of at most about
+``TILE`` nodes, and two tiles meet unless the angles between their pivots and the
+radii of their cells rule a link out.  Nothing is cut at ``LONG``: every list
+entry counts, and what the lists of dense nodes lack, blocks find.
 
 An audit compares a bounded sample of nodes, half of them with links and half
 without, with all others exactly.  While the mean share of links found is below
@@ -47,7 +46,7 @@ from quireloom.llm.vectors import is_whole, matrix, same_width
 from quireloom.session import materialize, ship_package
 
 #: Neighbours of a node at first and of a saturated one at last, blocks of the first graph, hyperplane tables, rounds.
-LIST, LONG, BLOCK, TABLES, ROUNDS = 8, 64, 128, 4, 4
+LIST, LONG, BLOCK, TABLES, ROUNDS = 8, 64, 128, 4, 8
 #: A round that adds fewer than this share of all edges near the threshold is the last.
 STILL = 0.01
 #: How far below the threshold an edge by codes may lie and still be checked.
@@ -115,34 +114,31 @@ def first_graph(nodes: DataFrame, n_nodes: int, seed: int, size: int) -> DataFra
     return placed.repartitionByRange("table", "key", "side").sortWithinPartitions("table", "key", "side", "node").mapInArrow(meet, EDGES)
 
 
-def nearest(edges: DataFrame, size: int, only: DataFrame | None = None) -> DataFrame:
-    """The best distinct neighbours of each node, ``LONG`` instead of ``size`` for the nodes (a) of ``only``.
+def nearest(edges: DataFrame, size: int, least: float) -> DataFrame:
+    """The ``size`` best distinct neighbours of each node, and more, up to ``LONG``, of ``least`` and above.
 
     ``old`` tells edges that were there before from new ones.
     """
     best = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.bool_or("old").alias("old"))
-    most = size if only is None else LONG
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= most)
-    if only is not None:
-        ranked = ranked.join(only.withColumn("grows", F.lit(True)), "a", "left").where((F.col("rank") <= size) | F.col("grows")).drop("grows")
-    return ranked.drop("rank")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= LONG)
+    return ranked.where((F.col("rank") <= size) | (F.col("sim") >= least)).drop("rank")
 
 
-def one_round(graph: DataFrame, codes: DataFrame, size: int, grows: DataFrame | None = None, least: float = -1.0) -> DataFrame:
+def one_round(graph: DataFrame, codes: DataFrame, size: int, least: float) -> DataFrame:
     """Join nodes with their neighbours' neighbours: the old edges and new ones that beat the lists.
 
-    Lists of the nodes of ``grows`` (a) have up to ``LONG`` entries, and those of
-    them that are not full of edges of ``least`` and above look for more such
-    edges; without ``grows`` all lists look for more.
+    A node whose list is saturated looks for edges of ``least`` and above until
+    it has ``LONG`` of them.
     """
     ends = graph.join(codes.select(F.col("node").alias("b"), F.col("code").alias("b_code")), "b")
     # both uses below read this one aggregate, so Spark shuffles it once
     own = ends.groupBy("a").agg(F.collect_list(F.struct("b", "b_code", "sim")).alias("list"))  # at most LONG
     lists = own.withColumnRenamed("a", "via")
-    asks, most = (own, size) if grows is None else (own.join(grows, "a").where(F.size(F.filter("list", lambda e: e["sim"] >= least)) < LONG), LONG)
+    # full at LONG: blocks will compare these, so their lists need not be the best
+    near = F.size(F.filter("list", lambda e: e["sim"] >= least))
     last = F.array_min(F.transform("list", lambda e: e["sim"]))
-    beat = F.when(F.size("list") < most, F.lit(least)).otherwise(F.greatest(last, F.lit(least))).cast("float")
-    asks = asks.join(codes.select(F.col("node").alias("a"), "code"), "a").select("a", "code", beat.alias("least"), F.transform("list", lambda e: e["b"]).alias("ends"))
+    beat = F.when(near >= size, F.lit(least)).when(F.size("list") < size, F.lit(-1.0)).otherwise(last).cast("float")
+    asks = own.where(near < LONG).join(codes.select(F.col("node").alias("a"), "code"), "a").select("a", "code", beat.alias("least"), F.transform("list", lambda e: e["b"]).alias("ends"))
     ask = asks.select("a", "code", "least", F.explode("ends").alias("via"))
 
     def compare(batches):
@@ -160,8 +156,8 @@ def one_round(graph: DataFrame, codes: DataFrame, size: int, grows: DataFrame |
                 yield batch(["a", "b", "sim"], a[row][new], b[new], sim[new])
 
     new = ask.join(lists, "via").select("a", "code", "least", "list").mapInArrow(compare, EDGES)
-    back = graph.where(F.col("sim") >= least).select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-    return nearest(graph.select("a", "b", "sim", F.lit(True).alias("old")).unionByName(back.unionByName(new).withColumn("old", F.lit(False))), size, grows)
+    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
+    return nearest(graph.select("a", "b", "sim", F.lit(True).alias("old")).unionByName(back.unionByName(new).withColumn("old", F.lit(False))), size, least)
 
 
 def saturated(graph: DataFrame, size: int, least: float) -> DataFrame:
@@ -179,18 +175,11 @@ def descend(nodes: DataFrame, n_nodes: int, seed: int, size: int, least: float)
     """The refined neighbour graph (a, b, sim by codes); saturated lists have up to ``LONG`` entries."""
     codes = nodes.select("node", "code")
     first = first_graph(nodes, n_nodes, seed, size).withColumn("old", F.lit(False))
-    graph = materialize(nearest(first, size), "graph")
+    graph = materialize(nearest(first, size, least), "graph")
     for _ in range(ROUNDS):
-        graph = materialize(one_round(graph, codes, size), "graph")
+        graph = materialize(one_round(graph, codes, size, least), "graph")
         if is_still(graph, least):
             break
-    full = materialize(saturated(graph, size, least), "saturated")
-    if not full.isEmpty():
-        for _ in range(ROUNDS):
-            # those full at LONG too ask no more: blocks will compare these, so their lists need not be the best
-            graph = materialize(one_round(graph, codes, size, full, least), "graph")
-            if is_still(graph, least):
-                break
     return graph.drop("old")
 
 
