@@ -131,7 +131,7 @@ def one_round(graph: DataFrame, codes: DataFrame, size: int, least: float) -> Da
     it has ``LONG`` of them.
     """
     ends = graph.join(codes.select(F.col("node").alias("b"), F.col("code").alias("b_code")), "b")
-    # both uses below read this one aggregate, so Spark shuffles it once
+    # both uses below read this one aggregate, so that Spark can reuse its shuffle
     own = ends.groupBy("a").agg(F.collect_list(F.struct("b", "b_code", "sim")).alias("list"))  # at most LONG
     lists = own.withColumnRenamed("a", "via")
     # full at LONG: blocks will compare these, so their lists need not be the best
