@@ -26,6 +26,8 @@ beyond 64 bits counts as the nearest 64-bit integer.
 Of equal vectors only the rows with the ``k + 1`` smallest ids can be among the
 ``k`` best of any query, so a group of copies is that many rows at most in the
 tree.  Sizes of groups, pages and blocks are fixed, whatever the partitions.
+Joins of queries, blocks and groups are merges: what these take in memory is
+many times their files, by which Spark would have the driver broadcast them.
 
 Defined results: vectors that are null or have null or non-finite components
 take no part, as queries or candidates, nor do those whose scaled components are
@@ -296,10 +298,10 @@ def visits(asked: DataFrame, groups: DataFrame, routes: np.ndarray, top: float,
                 size = [len(s) for s in best.score]
                 yield record(FOUND, np.repeat(own, size), np.concatenate(best.ids), np.concatenate(best.score))
 
-    return asked.select("gid", F.col("ids").alias("qids"), "size", "least", "q").join(groups, "gid").mapInArrow(run, FOUND)
+    return asked.select("gid", F.col("ids").alias("qids"), "size", "least", "q").join(groups.hint("merge"), "gid").mapInArrow(run, FOUND)
 
 
-def descend(blocks: DataFrame, directory: DataFrame, spans: dict[int, tuple[float, float]], routes: np.ndarray, top: float) -> DataFrame:
+def descend(blocks: DataFrame, directory: DataFrame, count: int, spans: dict[int, tuple[float, float]], routes: np.ndarray, top: float) -> DataFrame:
     """(no, gid): the groups that may hold something better for a query of a block."""
     some = np.array(sorted(spans))
     near, wide = (np.array([spans[r][i] for r in some.tolist()]) for i in range(2))
@@ -328,6 +330,8 @@ def descend(blocks: DataFrame, directory: DataFrame, spans: dict[int, tuple[floa
                 yield record("no long, gid long", [row["no"]] * len(gid), gid)
 
     rings = directory.groupBy("route").agg(F.collect_list("gid").alias("gids"), F.collect_list("near").alias("near"), F.collect_list("wide").alias("wide"))
+    # known small, unlike the blocks at their routes, whose estimate says nothing of how many routes a block meets
+    rings = rings.hint("broadcast" if count <= MOST_ROUTES * MOST_RINGS else "merge")
     return blocks.mapInArrow(at_top, schema).join(rings, "route").mapInArrow(at_rings, "no long, gid long")
 
 
@@ -377,11 +381,12 @@ def top_k(df: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id",
     found = visits(at_home, groups, routes, top, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    if sum(r["n"] for r in tops) == 1:
+    count = sum(r["n"] for r in tops)
+    if count == 1:
         return ranked(found)
     found = materialize(found, "near")
     worst = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least")).select("id", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    again = queries.join(worst, "id", "left").select("id", "x", "gid", F.coalesce("floor", F.lit(LEAST - 1)).cast("long").alias("least"))
+    again = queries.join(worst.hint("merge"), "id", "left").select("id", "x", "gid", F.coalesce("floor", F.lit(LEAST - 1)).cast("long").alias("least"))
     blocks = materialize(query_blocks(again, width).withColumn("no", F.monotonically_increasing_id()), "blocks")
-    asked = blocks.join(descend(blocks, directory, spans, routes, top), "no")
+    asked = blocks.hint("merge").join(descend(blocks, directory, count, spans, routes, top), "no")
     return ranked(found.unionByName(visits(asked, groups, routes, top, k)))

@@ -1,5 +1,7 @@
 """Embedding near-duplicates and exact top-k against brute force over all pairs."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -219,3 +221,20 @@ def test_repeated_ids_in_top_k(spark):
     """A query's own row is every row with its id; another id's repeated rows all count."""
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert sorted(tuple(x) for x in mtree.top_k(df).collect()) == [(0, 1, 1, 64 * 128), (0, 2, 1, 64 * 128)]
+
+
+def test_the_driver_gathers_no_blocks_or_groups(spark, monkeypatch):
+    """Files of copies are small, so their estimates allow a broadcast; only sizes of crowds and rings of routes may be sent."""
+    for name, size in (("PAGE", 8), ("GROUP", 64), ("BLOCK", 8)):
+        monkeypatch.setattr(mtree, name, size)
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    write = mtree.materialize
+    monkeypatch.setattr(mtree, "materialize", lambda df, tag: (plans.append(plan(df)), write(df, tag))[1])
+    r = np.random.default_rng(11)
+    base = r.standard_normal((4, 8)).tolist()
+    rows = [(i, base[i // 20 % 4]) for i in range(0, 6_000, 20)] + [(i, r.standard_normal(8).tolist()) for i in range(1, 300, 2)]
+    found = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(x) for x in found.collect()) == best(rows)
+    sent = {join for p in [*plans, plan(found)] for join in re.findall(r"BroadcastHashJoin \[(\w+)#\w+\], \[\w+#\w+\], (\w+), (\w+)", p)}
+    assert sent <= {("gid", "LeftOuter", "BuildRight"), ("route", "Inner", "BuildRight")}
